@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .pretok import shared_file, splitter
 
-MAX_STATES = 200_000
-MAX_PIECES = 400_000
+MAX_STATES = 60_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 200_000
 LONG_PIECE = 64
 SLICE = 128
 
@@ -67,14 +68,14 @@ class Transducer:
                 self.halves[r] = (halves[0], halves[1])
             (self.reachable if len(halves) <= 2 else self.whole)[b] = r
         self.prefixes = {b[:i] for b in self.reachable for i in range(len(b))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.ids: dict[tuple[int, bytes], int] = {}
         self.states: list[tuple[bytes, list[int], list[int], list[int]]] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.ends: list[tuple[int, ...] | None] = []
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 times the state plus the byte
+        self.seen: set[int] = set()  # moves that were asked for once
         self.start = self._state(b"", [0], [0], [-1])
 
     def _state(self, pending: bytes, live: list[int], starts: list[int], tokens: list[int]) -> int:
@@ -83,16 +84,14 @@ class Transducer:
         if found is None:
             found = self.ids[key] = len(self.states)
             self.states.append((pending, live, starts, tokens))
-            self.moves.append({})
-            self.ends.append(None)
         return found
 
     def _beside(self, a: int, b: int) -> bool:
         """Whether the merges leave two tokens apart: undoing their merges from the last to the
         first, no merge across the border may have come before the one that is undone."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) > 4 * MAX_STATES:
+            if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
             words, ranks, halves = self.token_bytes, self.ranks, self.halves
             x, y, limit, after, known = a, b, 1 << 60, False, True
@@ -110,23 +109,31 @@ class Transducer:
                     limit, after, x = left, False, halves[x][1]
                 else:
                     limit, after, y = right, True, halves[y][0]
-            self.pairs[a, b] = known
+            self.pairs[a << 32 | b] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        pending, live, starts, tokens = self.states[state]
-        text = pending + bytes((byte,))
-        n = len(text)
+    def _read(self, text: bytes, n: int, live: list[int], starts: list[int], tokens: list[int]) -> list[int]:
+        """Read the byte before ``n``: appends to ``starts`` and ``tokens``, gives the new live positions."""
         reachable, prefixes = self.reachable, self.prefixes
         for q in live:
-            token = reachable.get(text[q:])
+            token = reachable.get(text[q:n])
             if token is not None and (tokens[q] == -1 or self._beside(tokens[q], token)):
                 break
         else:
             raise RuntimeError("no token ends here; the ranks are not those of a byte-level BPE")
-        starts, tokens = [*starts, q], [*tokens, token]
-        live = [p for p in live if text[p:] in prefixes]
+        starts.append(q)
+        tokens.append(token)
+        live = [p for p in live if text[p:n] in prefixes]
         live.append(n)
+        return live
+
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Determinise one move: the target state and the tokens that became certain."""
+        pending, live, starts, tokens = self.states[state]
+        text = pending + bytes((byte,))
+        n = len(text)
+        starts, tokens = starts.copy(), tokens.copy()
+        live = self._read(text, n, live, starts, tokens)
         root = n
         for p in live:  # the last position that all live ones have in their past
             while p != root:
@@ -142,31 +149,42 @@ class Transducer:
             live = [p - root for p in live]
             starts = [max(0, p - root) for p in starts[root:]]
             tokens = tokens[root:]
-        target = self._state(text[root:], live, starts, tokens)
-        move = self.moves[state][byte] = (target, tuple(out[::-1]))
+        move = self.moves[state << 8 | byte] = (self._state(text[root:], live, starts, tokens), tuple(out[::-1]))
         return move
 
-    def finish(self, state: int) -> tuple[int, ...]:
-        if (known := self.ends[state]) is None:
-            pending, _, starts, tokens = self.states[state]
-            out, p = [], len(pending)
-            while p:
-                out.append(tokens[p])
-                p = starts[p]
-            known = self.ends[state] = tuple(out[::-1])
-        return known
+    def finish(self, state: int, rest: bytes = b"") -> list[int]:
+        """The tokens from a state to the end, after reading ``rest`` without making states."""
+        pending, live, starts, tokens = self.states[state]
+        if rest:
+            text, starts, tokens = pending + rest, starts.copy(), tokens.copy()
+            for n in range(len(pending) + 1, len(text) + 1):
+                live = self._read(text, n, live, starts, tokens)
+        out, p = [], len(starts) - 1
+        while p:
+            out.append(tokens[p])
+            p = starts[p]
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
+        """All tokens of a piece. A move is determinised when it is asked for a second time; what
+        follows a move that comes up for the first time is read without making states."""
         if (single := self.whole.get(piece)) is not None:
             return [single]
-        if len(self.states) > self.max_states:
+        if len(self.states) > self.max_states or len(self.seen) > 4 * self.max_states:
             self._reset()
         state, out, moves = self.start, [], self.moves
-        for byte in piece:
-            move = moves[state].get(byte)
-            state, put = move if move is not None else self.step(state, byte)
-            if put:
-                out.extend(put)
+        for i, byte in enumerate(piece):
+            key = state << 8 | byte
+            move = moves.get(key)
+            if move is None:
+                if key not in self.seen:
+                    self.seen.add(key)
+                    out.extend(self.finish(state, piece[i:]))
+                    return out
+                move = self.step(state, byte)
+            state = move[0]
+            if move[1]:
+                out.extend(move[1])
         out.extend(self.finish(state))
         return out
 
@@ -176,11 +194,15 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer, self.split = Transducer(ranks), splitter(pattern)
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = tuple(self.transducer.encode(piece.encode("utf-8", "replace")))
+        found = self.older.get(piece)
+        if found is None:
+            found = tuple(self.transducer.encode(piece.encode("utf-8", "replace")))
         if len(piece) <= LONG_PIECE:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= MAX_PIECES:  # what is in use comes back from the older half
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -272,8 +294,9 @@ class Decoder:
         if rest := machine.finish():
             yield rest
 
-    def to_text(self, ids: Iterable[int]) -> str:
-        return "".join(self.stream(ids))
+    def to_text(self, ids: list[int]) -> str:
+        parts = list(map(self.alone.__getitem__, ids))
+        return "".join(self.stream(ids) if None in parts else parts)
 
 
 _coders: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
@@ -328,11 +351,14 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: st
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
-                lists = [x.values.tolist() if x.is_valid else [] for x in rows.column("ids")]
+                column = rows.column("ids")
+                ends = column.offsets.to_numpy()
+                flat, ends = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy().tolist(), (ends - ends[0]).tolist()
+                lists = [flat[a:b] for a, b in zip(ends, ends[1:])]
                 raw = [decoder.to_bytes(x) for x in lists]
                 text = [decoder.to_text(x) for x in lists]
                 yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("ids"), pa.array(raw, pa.binary()), pa.array(text, pa.string())], names=["id", "ids", "decoded", "decoded_text"])
 
-    slim = tokens.select(F.col(id_col).alias("id"), F.col(ids).cast("array<int>").alias("ids"))
+    slim = tokens.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     out = slim.withColumns({"decoded": F.lit(b""), "decoded_text": F.lit("")}).schema
     return slim.mapInArrow(run, out).withColumnRenamed("id", id_col)
