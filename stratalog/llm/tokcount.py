@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import work_path, written
 from .pretok import shared_file, splitter
 
-MAX_PIECES = 1_000_000
+#: Pieces whose counts are remembered; as many again stay as the older half.
+MAX_PIECES = 150_000
 LONG_PIECE = 64
 SLICE = 128
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -34,6 +35,7 @@ class Counter(dict):
 
     def __init__(self, name: str, data: bytes, pattern: str):
         self.library, self.split, self.added = None, None, None
+        self.older: dict[str, int] = {}
         if name.endswith(".model"):
             import sentencepiece
 
@@ -64,8 +66,12 @@ class Counter(dict):
         odd = [self.added is not None and self.added(t) is not None for t in texts]
         split = [[] if o else self.split(t) for t, o in zip(texts, odd)]
         if len(self) >= MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        missing = list(set().union(*split).difference(self))
+        missing = set().union(*split).difference(self)
+        back = missing.intersection(self.older)
+        self.update((p, self.older[p]) for p in back)
+        missing = list(missing - back)
         short = [p for p in missing if len(p) <= LONG_PIECE]
         self.update(zip(short, self.whole(short)))
         if len(short) < len(missing):
