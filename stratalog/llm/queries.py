@@ -28,6 +28,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, identify, learn
 
@@ -54,6 +60,14 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no path; theirs is made of the source and the thousands of the id."""
+    from .licenses import scan
+
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(table(spark, sf_dir, "documents"), path)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokcount import count_tokens
 
@@ -61,14 +75,25 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find, in_order, written_out
+
+    found = find(table(spark, sf_dir, "documents"))
+    base = in_order(F.concat(*(F.col(k) for k in KINDS)))
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_decontamination": op4_decontamination,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op7_main_text": op7_main_text,
+    "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
+    "op10_pii": op10_pii,
 }
 
 #: SQL gives the four base-32 digits of each five hex digits.
