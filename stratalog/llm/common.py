@@ -1,45 +1,13 @@
-"""Shared plumbing: the shared work folder and lineage cuts through written tables."""
+"""Shared plumbing of this package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
+from ..work import shared_dir, work_path, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session without that setting gets a folder of its own; on a cluster a missing
-    setting is an error, since no machine-local folder would do.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
-    made = tempfile.mkdtemp(prefix="stratalog-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/stratalog/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: what was computed survives the loss of executors, and a plan that uses
-    the table several times computes it once.
-    """
-    path = work_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "table", "work_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
