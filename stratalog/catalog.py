@@ -401,7 +401,11 @@ SQL = {
     "mask_params": f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z|' || {_SIZE} || '|' || {_K} AS params FROM events",
     "mask_pattern_counts": f"SELECT {_OWN} AS pattern, count(*) AS n FROM events GROUP BY 1",
     "learned_templates": f"SELECT {_TEMPLATE} AS template, count(*)::BIGINT AS n FROM events GROUP BY 1",
-    "learn_boundary": f"SELECT DISTINCT 8 AS users, {_OWN} AS template FROM events WHERE user_id < 8 UNION ALL SELECT DISTINCT 9, {_TEMPLATE} FROM events WHERE user_id < 9",
+    "learn_boundary": f"""
+        WITH e AS (SELECT *, {_LATE} AS late FROM events WHERE user_id < 9),
+        u AS (SELECT event_type, late, count(DISTINCT user_id) AS users FROM e GROUP BY ALL)
+        SELECT DISTINCT 8 AS users, {_OWN} AS template FROM e WHERE user_id < 8
+        UNION ALL SELECT DISTINCT 9, CASE WHEN u.users > 8 THEN {_TEMPLATE} ELSE {_OWN} END FROM e JOIN u USING (event_type, late)""",
     "roundtrip_events": f"SELECT event_id, {_LINE} AS line FROM events",
     "roundtrip_documents": _split_sql("documents", "doc_id", "text"),
     "roundtrip_pages": _split_sql("pages", "page_id", "html"),
