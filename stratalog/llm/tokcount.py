@@ -9,6 +9,7 @@ UTF-8: anything more could change the count.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,9 @@ from .pretok import shared_file, splitter
 #: Pieces whose counts are remembered; as many again stay as the older half.
 MAX_PIECES = 150_000
 LONG_PIECE = 64
-SLICE = 128
+SLICE = 64
+#: The library makes an object with offsets for each piece, so it gets so many at a time.
+CHUNK = 1024
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -41,6 +44,7 @@ class Counter(dict):
 
             self.pieces = sentencepiece.SentencePieceProcessor(model_proto=data)
         elif name.endswith(".json"):
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already; more threads only hold more memory
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_buffer(data)
@@ -58,7 +62,7 @@ class Counter(dict):
     def whole(self, texts: list[str]) -> list[int]:
         if self.library is None:
             return [len(x) for x in self.pieces.encode(texts, num_threads=1)]
-        return [len(x) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(x) for at in range(0, len(texts), CHUNK) for x in self.library.encode_batch_fast(texts[at : at + CHUNK], add_special_tokens=False)]
 
     def count(self, texts: list[str]) -> list[int]:
         if self.split is None:
