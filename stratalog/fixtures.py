@@ -47,7 +47,7 @@ def multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     stack = F.when(F.col("event_type") == "error", F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda j: j < F.col("event_id") % 4), lambda j: F.concat(F.lit("\tat com.example.C"), F.col("event_id").cast("string"), F.lit(".m(C.java:"), j.cast("string"), F.lit(")")))).otherwise(F.array().cast("array<string>"))
     blank = F.when(F.col("event_id") % 10 == 9, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     rows = own.select("event_id", F.posexplode(F.concat(F.array("line"), stack, blank)).alias("j", "value"))
-    return rows.select(F.lit("events.log").alias("source"), F.lit(0).alias("block"), (F.col("event_id") * 8 + F.col("j")).alias("line_no"), "value")
+    return rows.select(F.lit("events.log").alias("source"), F.floor(F.col("event_id") / 4096).alias("block"), (F.col("event_id") * 8 + F.col("j")).alias("line_no"), "value")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Multi-line grouping in closed form: two running sums instead of a sequential reader."""
+"""Multi-line grouping in closed form: running values instead of a sequential reader."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # What opens an event, and what continues one that has no time of its own.
 STARTS = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}"
@@ -13,19 +15,32 @@ BLANK = r"^\p{javaWhitespace}*$"
 def groups(lines: DataFrame, continues: str = CONTINUES) -> DataFrame:
     """Lines ``(source, block, line_no, value)`` to groups ``(source, seq, header, continuation, source_ts)``.
 
-    A line that starts with a time, or that follows a blank line, opens a segment. In a segment
-    whose first line has a time all other lines are continuations; in others only those that look
-    like one. Blank lines go. Windows run within a source and are as long as its longest file.
+    A line that starts with a time, or that follows a blank line, is hard: it opens an event
+    whatever it looks like. Where the last hard line has a time all other lines continue it;
+    elsewhere only those that look like a continuation do. Blank lines go.
+
+    Windows run within a block of a source (a split of a file), so a long file has many tasks; what
+    a block takes over from the blocks before it are a few values a block.
     """
-    order = Window.partitionBy("source").orderBy("block", "line_no")
+    inside = Window.partitionBy("source", "block").orderBy("line_no")
+    blocks = Window.partitionBy("source").orderBy("block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, summary: Column, over: Callable[[Column], Column], name: str) -> DataFrame:
+        one = df.groupBy("source", "block").agg(summary.alias("__own"))
+        one = one.select(F.col("source").alias("__s"), F.col("block").alias("__b"), over(F.col("__own")).alias(name), "block", "source")
+        return df.join(one.drop("block", "source"), F.col("source").eqNullSafe(F.col("__s")) & F.col("block").eqNullSafe(F.col("__b"))).drop("__s", "__b")
+
     blank = F.coalesce(F.col("value"), F.lit("")).rlike(BLANK)
     marked = lines.select("source", "block", "line_no", "value", blank.alias("blank"), F.col("value").rlike(STARTS).alias("starts"), F.col("value").rlike(continues).alias("continues"))
-    marked = marked.withColumn("hard", F.col("starts") | F.coalesce(F.lag("blank").over(order), F.lit(True))).where("not blank")
-    segment = marked.withColumn("segment", F.sum(F.col("hard").cast("int")).over(order))
-    whole = Window.partitionBy("source", "segment").orderBy("block", "line_no")
-    anchored = segment.withColumn("anchored", F.first("starts").over(whole))
-    heads = anchored.withColumn("head", F.col("hard") | (~F.col("anchored") & ~F.col("continues")))
-    numbered = heads.withColumn("seq", F.sum(F.col("head").cast("int")).over(order).cast("long"))
+    marked = carried(marked, F.max_by("blank", "line_no"), lambda own: F.lag(own).over(blocks), "blank_before")
+    after_blank = F.coalesce(F.lag("blank").over(inside), F.col("blank_before"), F.lit(True))
+    hard = marked.withColumn("hard", ~F.col("blank") & (F.col("starts") | after_blank)).where("not blank").drop("blank_before", "blank")
+    hard = carried(hard, F.max_by(F.when(F.col("hard"), F.col("starts")), F.when(F.col("hard"), F.col("line_no"))), lambda own: F.last(own, ignorenulls=True).over(earlier), "anchored_before")
+    anchored = F.coalesce(F.last(F.when(F.col("hard"), F.col("starts")), ignorenulls=True).over(inside), F.col("anchored_before"), F.lit(False))
+    heads = hard.withColumn("head", (F.col("hard") | (~anchored & ~F.col("continues"))).cast("long")).drop("anchored_before")
+    heads = carried(heads, F.sum("head"), lambda own: F.coalesce(F.sum(own).over(earlier), F.lit(0)), "heads_before")
+    numbered = heads.withColumn("seq", F.col("heads_before") + F.sum("head").over(inside))
     line = F.struct("block", "line_no", "value")
     grouped = numbered.groupBy("source", "seq").agg(F.sort_array(F.collect_list(line)).alias("rows"))
     values = F.transform("rows", lambda r: r["value"])

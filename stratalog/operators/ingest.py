@@ -10,7 +10,8 @@ from ..functions import masking, text
 from ..work import written
 from . import learner
 
-ID_BLOCK = 1_000_000
+#: Sequence numbers in a block: windows run within a block, and blocks of one source run side by side.
+BLOCK = 1 << 14
 
 
 @dataclass
@@ -29,7 +30,7 @@ def numbered(rows: DataFrame, name: str, first: int) -> DataFrame:
     Ids are counted within blocks of the sequence; only the blocks' sizes, a few numbers, are summed
     up in one place.
     """
-    block = rows.withColumn("__block", F.floor(F.col("seq") / ID_BLOCK))
+    block = rows.withColumn("__block", F.floor(F.col("seq") / BLOCK))
     sizes = block.groupBy("source", "__block").agg(F.count("*").alias("__n"))
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("source", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     offsets = offsets.select(F.col("source").alias("__s"), F.col("__block").alias("__b"), "__before")
@@ -42,12 +43,22 @@ def parsed(groups: DataFrame, now_ms: int, batch: int | None = None) -> DataFram
     """Groups with pattern, parameters and event time.
 
     A group without a time of its own takes the last one before it in its source (in its batch of
-    ``batch`` groups, if given), or else ``now_ms``.
+    ``batch`` groups, if given), or else ``now_ms``. Sources are cut into blocks of the sequence;
+    a block takes over one value from the blocks before it.
     """
-    out = masking.masked(groups, "header").withColumn("own_ts", F.coalesce("source_ts", text.event_time(F.col("header"))))
-    keys = ["source"] + ([F.floor((F.col("seq") - 1) / batch)] if batch else [])
-    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("log_timestamp", F.coalesce(F.last("own_ts", ignorenulls=True).over(before), F.lit(now_ms))).withColumn("resolved", F.col("own_ts").isNotNull())
+    size = batch or BLOCK
+    dealt = groups.withColumn("block", F.floor((F.col("seq") - 1) / size)).repartition("source", "block")
+    out = masking.masked(dealt, "header").withColumn("own_ts", F.coalesce("source_ts", text.event_time(F.col("header"))))
+    before = Window.partitionBy("source", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("log_timestamp", F.last("own_ts", ignorenulls=True).over(before)).withColumn("resolved", F.col("own_ts").isNotNull())
+    if batch:
+        return out.withColumn("log_timestamp", F.coalesce("log_timestamp", F.lit(now_ms))).drop("block")
+    out = written(out, "timed")
+    last = out.groupBy("source", "block").agg(F.max_by("own_ts", F.when(F.col("resolved"), F.col("seq"))).alias("last"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.last("last", ignorenulls=True).over(earlier).alias("carried")).where("carried is not null")
+    joined = out.join(carried, F.col("source").eqNullSafe(F.col("__s")) & F.col("block").eqNullSafe(F.col("__b")), "left")
+    return joined.withColumn("log_timestamp", F.coalesce("log_timestamp", "carried", F.lit(now_ms))).drop("__s", "__b", "carried", "block")
 
 
 def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next_entry: int = 1, next_log: int = 1, now_ms: int = 0, learn: bool = True, max_branching: int = learner.MAX_BRANCHING, max_templates: int = learner.MAX_TEMPLATES, batch: int | None = None) -> Ingested:
@@ -59,7 +70,8 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     raw, whole. With ``learn`` the batch's own patterns are learned from first.
     """
     spark = groups.sparkSession
-    rows = written(parsed(groups, now_ms, batch), "parsed")
+    rows = parsed(groups, now_ms, batch)
+    rows = written(rows, "parsed") if batch else rows
     opaque = masking.has_marks(F.col("header"))
     patterns = written(rows.where(~opaque).groupBy("pattern").agg(F.count("*").alias("n"), F.min(F.struct("source", "seq")).alias("first"), F.min("log_timestamp").alias("first_ts"), F.max("log_timestamp").alias("last_ts")), "patterns")
     templates = written(templates, "templates-before")

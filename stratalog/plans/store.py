@@ -20,6 +20,7 @@ from ..work import written
 
 _SCHEMAS = {"entries": ENTRIES, "raws": RAWS, "templates": TEMPLATES, "plans": PLANS}
 _KEEP_VERSIONS = 2
+_ARCHIVE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12"}
 
 
 class Store:
@@ -157,8 +158,8 @@ class Store:
             entries = self._parts("live", "entries")
         seq = len(self._children("archive/entries")) + 1
         tail = self.tier("live", "entries").repartitionByRange("template_id", "log_timestamp").sortWithinPartitions("template_id", "log_timestamp", "entry_id")
-        tail.write.option("compression", "zstd").parquet(f"{self.path}/archive/entries/part_seq={seq:016d}")
-        self.tier("live", "raws").sortWithinPartitions("log_timestamp", "log_id").write.option("compression", "zstd").parquet(f"{self.path}/archive/raws/part_seq={seq:016d}")
+        tail.write.options(**_ARCHIVE).parquet(f"{self.path}/archive/entries/part_seq={seq:016d}")
+        self.tier("live", "raws").sortWithinPartitions("log_timestamp", "log_id").write.options(**_ARCHIVE).parquet(f"{self.path}/archive/raws/part_seq={seq:016d}")
         for part in entries + raws:
             self._delete(part)
         return True

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from stratalog.operators.grouping import groups
 from stratalog.sources.lines import listed_lines, message_groups, text_files
 
@@ -32,6 +34,8 @@ def test_rules_on_random_lines(spark):
     kinds = ["2024-01-01 00:00:00 a", "plain", "\tat x", "    four", "   three", "Caused by: y", "... 3 more", "", "  "]
     lines = [rng.choice(kinds) for _ in range(1500)]
     assert grouped(spark, lines) == sequential(lines)
+    cut = listed_lines(spark, lines).withColumn("block", F.floor(F.col("line_no") / 7))  # events cross blocks
+    assert [(r.header, list(r.continuation)) for r in groups(cut).orderBy("seq").collect()] == sequential(lines)
 
 
 def test_traceback_and_empty(spark):

@@ -75,6 +75,15 @@ def test_carry_forward_by_batch(spark, tmp_path):
     assert [r.log_timestamp for r in store.entries().orderBy("entry_id").collect()] == [1704067201000, 1704067201000, 77]
 
 
+def test_carry_forward_over_blocks(spark, monkeypatch):
+    from stratalog.operators import ingest
+
+    monkeypatch.setattr(ingest, "BLOCK", 4)
+    rows = ["a" if i % 7 else f"2024-01-01T00:00:{i:02d}Z a" for i in range(1, 40)]
+    got = [r.log_timestamp for r in ingest.parsed(groups(spark, rows), 5).orderBy("seq").collect()]
+    assert got == [5 if i < 7 else 1704067200000 + i // 7 * 7000 for i in range(1, 40)]
+
+
 def test_windows_filters_and_ties(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.ingest(groups(spark, [f"user=u{i % 2} took {i}ms" for i in range(10)], ts=1000), label="a", now_ms=5)
