@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .pretok import shared_file, splitter
 
-MAX_STATES = 60_000
-MAX_PAIRS = 300_000
-MAX_PIECES = 200_000
+MAX_STATES = 50_000
+MAX_PAIRS = 160_000
+MAX_PIECES = 160_000
 LONG_PIECE = 64
 SLICE = 128
 
@@ -326,7 +326,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     shared = shared_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the tables have no cycles, and looking for some takes longer than the work
+        gc.disable()  # the tables have no cycles, and looking for some all the time takes longer than the work
         encoder = _coder(shared, pattern)[0]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -334,6 +334,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
                 ids = [np.array(encoder.encode(t), np.int32) for t in rows.column("text").to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(ends, np.concatenate(ids))], names=["id", "ids"])
+            gc.collect()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     out = slim.select("id", F.array(F.lit(0)).alias("ids")).schema
