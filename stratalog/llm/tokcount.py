@@ -125,4 +125,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
     wanted = misses.select(F.col("digest").alias("d"), "first").hint("shuffle_hash")
     texts = slim.join(wanted, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
     texts.select("digest", "text").mapInArrow(run, CACHE).write.mode("append").parquet(cache)
-    return keys.join(known(), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "digest")
+    counted = written(known(), "counts")  # so that the join below has no aggregate beside it, and hot digests can be split
+    return keys.join(counted, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "digest")
