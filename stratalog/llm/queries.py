@@ -43,9 +43,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode, encode
+    from .bpe import round_trip
 
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    out = round_trip(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

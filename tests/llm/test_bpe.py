@@ -76,7 +76,9 @@ def test_operator(spark, library):
     out = bpe.decode(bpe.encode(df)).collect()
     assert sorted((r.doc_id or 0, r.decoded_text) for r in out) == sorted((d or 0, t or "") for d, t, _ in rows)
     assert all(list(r.ids) == library.encode_ordinary(r.decoded_text) and bytes(r.decoded).decode() == r.decoded_text for r in out)
-    assert bpe.encode(df.limit(0)).count() == 0
+    assert bpe.encode(df.limit(0)).count() == 0 == bpe.round_trip(df.limit(0)).count()
+    key = lambda r: (r.doc_id is None, r.doc_id, list(r.ids), bytes(r.decoded))
+    assert sorted(map(key, bpe.round_trip(df).collect())) == sorted(map(key, out))
 
 
 def counted(spark, rows, **kw):
