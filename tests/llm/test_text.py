@@ -149,6 +149,15 @@ def test_base_rules_against_plain_matching(spark):
     assert len(rows) == len(texts)
 
 
+def test_addresses_with_zero_parts(spark):
+    good = ["10.0.0.1", "192.168.0.1", "0.0.0.0", "000.0.0.1", "00255.0.00.10", "8.8.8.8"]
+    bad = ["10.0.0.256", "0.0.0.0256", "1.0.0"]
+    texts = [f"at {x} ok" for x in good + bad]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.text: [(x.s, x.e) for x in r.ip] for r in rows} == {t: [(s, e) for s, _, e, k in base(t) if k == "ip"] for t in texts}
+    assert {r.doc_id for r in rows if r.ip} == set(range(len(good)))
+
+
 def test_added_spans(spark):
     texts = {
         "write to john.doe [at] example [dot] com please": "write to [EMAIL] please",
