@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalog.llm import bpe, decontam, langid, pii, simhash
+from stratalog.llm import bpe, decontam, jaccard, langid, pii
 from stratalog.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,10 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest id. Documents
-    without a word are no copies of each other's content and all stay; so do null ids."""
-    found = simhash.near_duplicates(docs).where("fp <> 0 and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate component, the one with the smallest id. Components are
+    those of five-word Jaccard similarity 0.8 or more. Documents without a word are no copies of
+    each other's content and all stay; so do null ids."""
+    return jaccard.without_copies(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
