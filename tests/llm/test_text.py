@@ -108,6 +108,27 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(df.limit(0), F.col("path")).count() == 0
 
 
+def test_wrapped_headers_and_whole_licences(spark):
+    import textwrap
+
+    of = lambda name, n: [t for k, t in licenses.HEADERS if k == name][n]
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    whole = dict(licenses.whole_texts())
+    rows = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrap(of("MIT", 0))),
+        ("MIT", wrap(of("MIT", 1))),
+        ("GPL-3.0-or-later", wrap(of("GPL-3.0-or-later", 0), "# ") + "\nimport os\nprint(os.name)\n"),
+        ("GPL-2.0-or-later", wrap(of("GPL-2.0-or-later", 1), " * ") + "\nint main() { return 0; }"),
+        ("Apache-2.0", wrap(of("Apache-2.0", 1), "// ") + "\n\npackage x;"),
+        ("BSD-3-Clause", wrap(of("BSD-3-Clause", 0))),
+        *((k, whole[k]) for k in ("GPL-3.0-only", "GPL-2.0-only", "Apache-2.0", "MPL-2.0")),
+        (None, "the program is free to run\nand the software is a copy of what it was\nin the license office"),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r.doc_id: r.own_license for r in licenses.scan(df, F.col("path")).collect()}
+    assert found == {i: k for i, (k, _) in enumerate(rows)}
+
+
 def test_every_notice_in_the_documents(spark, sf_dir):
     own = {"Apache License": "Apache-2.0", "MIT License": "MIT", "CC BY-NC": "CC-BY-NC-4.0", "GNU General": "GPL-3.0-only"}
     rows = queries.op8_licenses(spark, sf_dir).collect()
