@@ -73,7 +73,6 @@ TEXTS = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-
 THRESHOLD = 0.75
 #: A file is a licence file if notices hold at least this share of its words.
 FILE_SHARE = 0.5
-MAX_DEPTH = 64
 SLICE = 128
 
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -222,7 +221,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text: str = "te
     # each directory in use with its ancestors, itself first: joined to the licences on the path
     used = found.where("own_license is null and path is not null").select(directory(F.col("path")).alias("home")).distinct()
     parts = F.split("home", "/")
-    levels = used.select("home", F.explode(F.sequence(F.size(parts), F.lit(0))).alias("depth")).where(F.col("depth") >= F.size(parts) - MAX_DEPTH)
+    levels = used.select("home", F.explode(F.sequence(F.size(parts), F.lit(0))).alias("depth"))
     levels = levels.withColumn("dir", F.array_join(F.slice(F.split("home", "/"), 1, F.col("depth")), "/"))
     nearest = written(levels.join(held, "dir").groupBy("home").agg(F.max_by("from", "depth").alias("from")), "nearest")
     joined = found.withColumn("home_of", F.when(F.col("own_license").isNull(), directory(F.col("path")))).join(nearest, F.col("home_of") == F.col("home"), "left")

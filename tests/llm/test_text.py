@@ -129,6 +129,12 @@ def test_wrapped_headers_and_whole_licences(spark):
     assert found == {i: k for i, (k, _) in enumerate(rows)}
 
 
+def test_inheritance_over_many_levels(spark):
+    deep = "/".join(["a"] + ["d"] * 100 + ["x.txt"])
+    df = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License."), (2, deep, "some text")], "doc_id long, path string, text string")
+    assert {(r.doc_id, r.license, r.license_path) for r in licenses.scan(df, F.col("path")).collect()} == {(1, "MIT", "a/LICENSE"), (2, "MIT", "a/LICENSE")}
+
+
 def test_every_notice_in_the_documents(spark, sf_dir):
     own = {"Apache License": "Apache-2.0", "MIT License": "MIT", "CC BY-NC": "CC-BY-NC-4.0", "GNU General": "GPL-3.0-only"}
     rows = queries.op8_licenses(spark, sf_dir).collect()
