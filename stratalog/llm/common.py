@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
-from ..work import shared_dir, work_path, written
+from ..work import discard, shared_dir, work_path, written
 
-__all__ = ["shared_dir", "table", "work_path", "written"]
+__all__ = ["discard", "shared_dir", "table", "work_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

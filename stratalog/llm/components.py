@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 MAX_ROUNDS = 60
 
 
 def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_003)))).first()
-    return row[0], row[1]
+    """The number of edges, and two independent 64-bit sums over them that take any order."""
+    h = F.xxhash64("u", "v")
+    row = edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.xxhash64("v", F.lit(1), "u").cast("decimal(20,0)"))).first()
+    return tuple(row)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     combines before the shuffle), so no neighbourhood is ever collected; a hot node's join is one
     that adaptive execution can split. Large-star links all larger neighbours to the minimum,
     small-star links smaller neighbours to it; a round leaves at most as many edges as it found.
-    Rounds grow with the logarithm of the component size; each is written to the shared folder.
+    Rounds grow with the logarithm of the component size; each is written to the shared folder and
+    the one before it deleted.
     Self loops, repeated and null edges are ignored; an empty input gives an empty result.
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -34,7 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(least, F.col("u") == F.col("k"))
         small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        last, edges = edges, written(small.where("u <> v").distinct(), "edges")
+        discard(last)
         after = _signature(edges)
         if after == before:
             return edges.select("u", F.col("v").alias("root"))

@@ -1,167 +1,217 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
-
-A pair at similarity 0.8 or more shares a shingle among the first fifth (and one) of either's
-shingles, in any fixed order of all shingles. That prefix filter loses nothing. The order puts
-shingles that a sample finds common last, so that boilerplate makes few candidates; what the sample
-misses costs time only. Every candidate pair is verified on its whole texts.
+"""Near-copies: SimHash over five-word shingles, then exact Jaccard similarity.
+
+Each text's set of shingles has a wide SimHash fingerprint. Tiles of fingerprints are compared as in
+``simhash``, with a radius that pairs of similarity 0.8 stay within, and the components of those
+links hold every pair that may be similar. Inside each such component the similarity of all pairs
+is then computed exactly, in tiles of bounded size: shingles that few texts hold add up pair by
+pair, the others in a matrix product. What comes back of a tile is a spanning forest of the true
+links, never the pairs of a dense group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import written
 from .components import connected_components
+from .simhash import SEED, SHARE, WORDS, _forest, majority, wide_links
 
-SEED = 42
 SHINGLE = 5
-#: Similarity 0.8 as a fraction of whole numbers.
-SHARE = (4, 5)
-#: Rows sampled for the order, and shingles kept of it; neither has a part in what is found.
-SAMPLE = 8192
-COMMON = 1 << 16
+#: Shingles and texts of one side of an exact tile, about.
+TILE_VALUES, TILE_TEXTS = 1 << 18, 2048
+#: Shingles in at most so many texts of a tile are counted pair by pair.
+FEW = 48
+#: Values of a slice of the matrix product.
+SLICE_VALUES = 1 << 22
 SLICE = 64
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of the shingles in order; a text of fewer words is one shingle, a text
-    without a word has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1)
-    return np.unique(hashes.view(np.int64))
+class _Hashes(dict):
+    """Hashes of words, remembered for a while."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
 
-def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a text, rare ones before common ones: one more than a text may lose."""
-    a, b = SHARE
-    n = len(own) - -(-len(own) * a // b) + 1 if len(own) else 0
-    if not len(common):
-        return own[:n]
-    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    return own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))[:n]]
 
+_hashes = _Hashes()
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both > 0 and SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both)
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles of a sample, sorted, and how often it holds them."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                found = [shingles(t) for t in batch.column("text").slice(at, SLICE).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["h"])
-
-    counted = docs.select("text").sample(share, SEED).mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
-    rows = sorted((r["h"], r["count"]) for r in counted.orderBy(F.desc("count"), "h").limit(COMMON).collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-
-
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, node, size, prefix)``: the digest of the text, its number of shingles and the first."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs))
-    slim = docs.select("doc_id", "node", "text")
-    schema = docs.select("doc_id", "node", F.lit(0).alias("size"), F.array().cast("array<long>").alias("prefix")).schema
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the shingles in order; a text of fewer words is one shingle, a text
+    without a word has none. Words are between white space, A-Z in lower case."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    own = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    h = np.full(len(words) - k + 1, np.uint64(k))
+    for i in range(k):
+        h = _mixed(h * _MIX[0] + own[i : len(own) - k + 1 + i])
+    return np.unique(h.view(np.int64))
+
+
+def wide(own: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles, ``WORDS`` signed 64-bit words."""
+    if not len(own):
+        return np.zeros(WORDS, np.int64)
+    seeds = np.arange(1, WORDS + 1, dtype=np.uint64) * _MIX[0]
+    return majority(_mixed(own.view(np.uint64)[:, None] + seeds[None, :]))
+
+
+def digest(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``."""
+    n, m = len(a), len(b)
+    out = np.zeros(n * m, np.int64)
+    values = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(n + m), [len(x) for x in chain(a, b)])
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(values)])))
+    inside = np.add.reduceat((owner < n).astype(np.int64), starts) if len(values) else sizes
+    both = (inside > 0) & (inside < sizes)
+    starts, sizes, inside = starts[both], sizes[both], inside[both]
+    few = sizes <= FEW
+    shapes = np.where(few, sizes * (FEW + 1) + inside, 0)
+    pairs, held = [], 0
+    for shape in np.unique(shapes[few]).tolist():
+        s, k = divmod(shape, FEW + 1)
+        at = starts[shapes == shape]
+        rows = owner[at[:, None] + np.arange(k)[None, :]]
+        cols = owner[at[:, None] + np.arange(k, s)[None, :]] - n
+        pairs.append((rows[:, :, None] * m + cols[:, None, :]).ravel())
+        held += len(pairs[-1])
+        if held > SLICE_VALUES:
+            out += np.bincount(np.concatenate(pairs), minlength=n * m)
+            pairs, held = [], 0
+    if pairs:
+        out += np.bincount(np.concatenate(pairs), minlength=n * m)
+    many = np.flatnonzero(~few)
+    step = max(1, SLICE_VALUES // (n + m))
+    for at in range(0, len(many), step):
+        some = many[at : at + step]
+        held = np.zeros((n + m, len(some)), np.float32)
+        for col, (s, z) in enumerate(zip(starts[some].tolist(), sizes[some].tolist())):
+            held[owner[s : s + z], col] = 1
+        out += (held[:n] @ held[n:].T).astype(np.int64).ravel()  # sums of at most 2**22 ones are exact
+    return out.reshape(n, m)
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs at ``SHARE`` or above, as numbers in ``a`` and ``b``."""
+    shared = overlaps(a, b)
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - shared
+    return np.nonzero((shared * SHARE[1] >= union * SHARE[0]) & (shared > 0))
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """``(key, node, size, w0 ...)``: of every row of ``docs(key, text)`` the digest, size and
+    fingerprint of its set of shingles."""
+    words = [f"w{i}" for i in range(WORDS)]
+    names = ["key", "node", "size", *words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
                 found = [shingles(t) for t in rows.column("text").to_pylist()]
-                first = [prefix(own, common, counts) for own in found]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first), pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("node"), pa.array([len(x) for x in found], pa.int32()), lists], names=schema.names)
-
-    return slim.mapInArrow(run, schema)
-
-
-def _keys(own: DataFrame) -> DataFrame:
-    """``(key, node, size)``: the prefix shingles that several nodes share."""
-    nodes = own.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    keys = nodes.select(F.explode("prefix").alias("key"), "node", "size")
-    return written(keys.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1").drop("many"), "keys")
-
+                bits = np.stack([wide(x) for x in found])
+                yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array([digest(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), *(pa.array(bits[:, i]) for i in range(WORDS))], names=names)
 
-def _stars(keys: DataFrame) -> DataFrame:
-    """``(u, v)``: each node with the smallest node of each of its keys, as sizes allow."""
-    a, b = SHARE
-    least = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"))
-    near = (F.col("size") * a <= F.col("c.size") * b) & (F.col("c.size") * a <= F.col("size") * b)
-    return keys.join(least, "key").where((F.col("c.node") < F.col("node")) & near).select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
+    return docs.select("key", "text").mapInArrow(run, "key long, node long, size int, " + ", ".join(f"{w} long" for w in words))
 
 
-def _candidates(keys: DataFrame, root: DataFrame) -> DataFrame:
-    """``(u, v)`` of all pairs not yet in one component that may reach the similarity by what their
-    prefixes share.
+def _verified(texts: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
+    """``(u, v)``: forests of the pairs of ``texts(node, root, text)`` with one root that reach the similarity.
 
-    What two texts share beyond the earlier end of the two prefixes lies in the rest of that text,
-    so the shared prefix shingles and the larger rest bound the overlap.
+    ``plan(r, chunks)``: into how many chunks the texts of a root are cut; each pair of chunks is a
+    task's group, and roots of one chunk are packed into ``buckets``.
     """
-    a, b = SHARE
-    keys = keys.join(root.toDF("k", "root"), F.col("node") == F.col("k"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    left, right = keys.toDF("key", "u", "n", "r"), keys.toDF("other", "v", "m", "q")
-    near = (F.col("n") * a <= F.col("m") * b) & (F.col("m") * a <= F.col("n") * b)
-    apart = (F.col("key") == F.col("other")) & (F.col("u") < F.col("v")) & (F.col("r") != F.col("q")) & near
-    pairs = left.join(right, apart).groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"))
-    rest = lambda n: F.floor((F.col(n) * a + b - 1) / b) - 1
-    return pairs.where((F.col("shared") + F.greatest(rest("n"), rest("m"))) * (a + b) >= (F.col("n") + F.col("m")) * a).select("u", "v")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose whole texts in ``docs(node, text)`` reach the similarity."""
-    pairs = written(pairs, "pairs")
-    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct(), "nodes")
-    held = written(docs.join(nodes, F.col("node") == F.col("k"), "left_semi").groupBy("node").agg(F.min("text").alias("text")), "paired")
-    both = pairs.join(held.toDF("u", "x"), "u").join(held.toDF("v", "y"), "v").select("u", "v", "x", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
-                texts = zip(rows.column("x").to_pylist(), rows.column("y").to_pylist())
-                yield rows.select(["u", "v"]).filter(pa.array([similar(shingles(x), shingles(y)) for x, y in texts], pa.bool_()))
-
-    return written(both.mapInArrow(run, "u long, v long"), "verified")
-
-
-def links(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """``(u, v)`` whose components are those of all pairs at the similarity or above. A dense group
-    is joined by its stars first; then only pairs of different components are left to verify."""
-    keys = _keys(own)
-    stars = _verified(docs, _stars(keys))
-    return stars.unionByName(_verified(docs, _candidates(keys, connected_components(stars))))
-
-
-def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)`` without those that another document's copy stands for.
-
-    A component is what links of five-word Jaccard similarity 0.8 or more reach; of each the rows
-    with its smallest id stay. Texts without a word are no copies of each other, and null ids stay.
+                sets = [shingles(t) for t in rows.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("root"), rows.column("chunks"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "chunks", "own"])
+
+    sets = texts.join(plan, F.col("root") == F.col("r")).select("node", "root", "chunks", "text").mapInArrow(cut, "node long, root long, chunks int, own array<long>")
+    chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    dealt = sets.select("node", "root", "own", "chunks", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    alone = F.col("chunks") == 1
+    dealt = dealt.select(
+        F.when(alone, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root")).alias("r"),
+        F.when(alone, -1).otherwise(F.least("chunk", "other")).alias("i"),
+        F.when(alone, -1).otherwise(F.greatest("chunk", "other")).alias("j"),
+        F.when(alone, -1).otherwise(F.col("chunk")).alias("side"), "node", "own")
+
+    def compared(group: pa.Table) -> pa.Table:
+        side, node = group.column("side").to_numpy(), group.column("node").to_numpy()
+        own = [x.values.to_numpy() for x in group.column("own")]
+        low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        a, b = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        i, j = similar([own[k] for k in a], [own[k] for k in b])
+        u, v = _forest(i, j + len(a), len(a) + len(b)) if len(i) else (i, j)
+        nodes = np.concatenate((node[a], node[b]))
+        return pa.table({"u": pa.array(nodes[u], pa.int64()), "v": pa.array(nodes[v], pa.int64())})
+
+    return dealt.groupBy("r", "i", "j").applyInArrow(compared, "u long, v long").where("u <> v").distinct()
+
+
+def without_copies(docs: DataFrame, tile_values: int = TILE_VALUES, tile_texts: int = TILE_TEXTS) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, one of each group of near copies.
+
+    A group is what links of five-word Jaccard similarity 0.8 or more reach; its row with the
+    smallest id stays, a null id being the largest, and of rows that repeat id and text any one.
+    Texts without a word are copies of nothing and all stay. Whole texts count, of any length. An
+    empty table gives an empty result. Texts and sets of shingles are told apart by 64-bit digests.
+
+    Texts are shuffled once, to mark those in a group; what follows sees only the marked ones.
     """
-    docs = docs.withColumn("node", F.xxhash64("text"))
-    own = written(_prefixes(docs), "prefixes")
-    root = connected_components(links(docs, own))
-    low = own.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    rooted = written(low.join(root, F.col("node") == F.col("u"), "left").select("node", "low", "high", F.coalesce("root", "node").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    gone = written(rooted.join(named, "root").where("high > component_id").select(F.col("node").alias("k"), "component_id"), "gone")
-    kept = docs.join(gone, (F.col("node") == F.col("k")) & (F.col("doc_id") > F.col("component_id")), "left_anti")
-    return kept.drop("node")
+    names = docs.columns
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    own = written(_sets(keyed), "sets").where("size > 0")
+    rest = ["size", *(f"w{i}" for i in range(WORDS))]
+    nodes = written(own.groupBy("node").agg(F.count("*").alias("copies"), *(F.max(c).alias(c) for c in rest)), "nodes")
+    near = connected_components(wide_links(nodes.select("node", *rest)))
+    rooted = nodes.join(near, F.col("node") == F.col("u"), "left").select("node", "copies", "size", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    groups = rooted.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("texts"), F.sum("size").alias("total"))
+    chunks = F.greatest(F.ceil(F.col("total") / tile_values), F.ceil(F.col("texts") / tile_texts)).cast("int")
+    groups = written(groups.where("texts > 1").select("r", "texts", "total", chunks.alias("chunks")), "groups")
+    joined = rooted.join(groups.select("r", F.lit(True).alias("paired")), F.col("root") == F.col("r"), "left")
+    marks = joined.where("copies > 1 OR paired").select(F.col("node").alias("n"), "root", F.coalesce("paired", F.lit(False)).alias("paired"))
+    marks = own.select("key", "node").distinct().join(marks, F.col("node") == F.col("n")).select(F.col("key").alias("k"), "node", "root", "paired")
+    marked = keyed.join(marks, F.col("key") == F.col("k"), "left").drop("k", "key")
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
+    marked = written(marked.select(*columns, "node", "root", "paired", F.monotonically_increasing_id().alias("row")), "marked")
+    text, id_col = (f"c{names.index(c)}" for c in ("text", "doc_id"))
+    whole = marked.where("paired").groupBy("node").agg(F.first("root").alias("root"), F.min(text).alias("text"))
+    small = groups.where("chunks = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+    buckets = max(1, -(-small[0] // tile_values), -(-small[1] // tile_texts))
+    final = connected_components(_verified(whole, groups.select("r", "chunks"), buckets))
+    best = marked.where("node is not null").select("node", "row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row").alias("place"))
+    best = best.join(final.toDF("u", "last"), F.col("node") == F.col("u"), "left").groupBy(F.coalesce("last", "node").alias("group")).agg(F.min("place").alias("place"))
+    stay = written(best.select(F.col("place.row").alias("keep")), "stay")
+    kept = marked.where("node is not null").join(stay, F.col("row") == F.col("keep"), "left_semi").unionByName(marked.where("node is null"))
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
