@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_owned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/stratalog/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, under a folder of the application's own, which goes when
+    the driver ends."""
+    app = spark.sparkContext.applicationId
+    own = f"{shared_dir(spark)}/stratalog/{app}"
+    if own not in _owned:
+        fs, at = _hadoop(spark, own)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _owned.add(own)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -40,4 +54,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for df in tables:
+        fs, at = _hadoop(df.sparkSession, df._written)
+        fs.delete(at, True)
