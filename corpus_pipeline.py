@@ -23,16 +23,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest id. Components are
-    those of five-word Jaccard similarity 0.8 or more. Documents without a word are no copies of
-    each other's content and all stay; so do null ids."""
+    """One row of each near-duplicate component, one with the smallest id. Components are those of
+    five-word Jaccard similarity 0.8 or more: SimHash finds the pairs, which are then verified
+    exactly. Rows are told apart by more than their id, so repeated and null ids are no exception.
+    Documents without a word are no copies of each other's content and all stay."""
     return jaccard.without_copies(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaked."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    """Documents into which no benchmark item leaked, each row judged by its own text."""
+    return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
