@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
 from ..work import discard, shared_dir, work_path, written
 
-__all__ = ["discard", "shared_dir", "table", "work_path", "written"]
+__all__ = ["discard", "release", "shared_dir", "table", "work_path", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release() -> None:
+    """Give memory back that a worker has freed, since the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -18,17 +18,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import release, written
 from .components import connected_components
 from .simhash import SEED, SHARE, WORDS, _forest, majority, wide_links
 
 SHINGLE = 5
 #: Shingles and texts of one side of an exact tile, about.
-TILE_VALUES, TILE_TEXTS = 1 << 18, 2048
+TILE_VALUES, TILE_TEXTS = 1 << 18, 1024
 #: Shingles in at most so many texts of a tile are counted pair by pair.
 FEW = 48
 #: Values of a slice of the matrix product.
-SLICE_VALUES = 1 << 22
+SLICE_VALUES = 1 << 20
 SLICE = 64
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -81,7 +81,7 @@ def digest(own: np.ndarray) -> int:
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many shingles each set of ``a`` shares with each of ``b``."""
     n, m = len(a), len(b)
-    out = np.zeros(n * m, np.int64)
+    out = np.zeros(n * m, np.int32)
     values = np.concatenate([*a, *b])
     owner = np.repeat(np.arange(n + m), [len(x) for x in chain(a, b)])
     order = np.lexsort((owner, values))
@@ -102,10 +102,10 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         pairs.append((rows[:, :, None] * m + cols[:, None, :]).ravel())
         held += len(pairs[-1])
         if held > SLICE_VALUES:
-            out += np.bincount(np.concatenate(pairs), minlength=n * m)
+            out += np.bincount(np.concatenate(pairs), minlength=n * m).astype(np.int32)
             pairs, held = [], 0
     if pairs:
-        out += np.bincount(np.concatenate(pairs), minlength=n * m)
+        out += np.bincount(np.concatenate(pairs), minlength=n * m).astype(np.int32)
     many = np.flatnonzero(~few)
     step = max(1, SLICE_VALUES // (n + m))
     for at in range(0, len(many), step):
@@ -113,14 +113,14 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         held = np.zeros((n + m, len(some)), np.float32)
         for col, (s, z) in enumerate(zip(starts[some].tolist(), sizes[some].tolist())):
             held[owner[s : s + z], col] = 1
-        out += (held[:n] @ held[n:].T).astype(np.int64).ravel()  # sums of at most 2**22 ones are exact
+        out += (held[:n] @ held[n:].T).astype(np.int32).ravel()  # sums of at most 2**20 ones are exact
     return out.reshape(n, m)
 
 
 def similar(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The pairs at ``SHARE`` or above, as numbers in ``a`` and ``b``."""
     shared = overlaps(a, b)
-    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - shared
+    union = np.array([len(x) for x in a], np.int32)[:, None] + np.array([len(x) for x in b], np.int32)[None, :] - shared
     return np.nonzero((shared * SHARE[1] >= union * SHARE[0]) & (shared > 0))
 
 
@@ -137,6 +137,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 found = [shingles(t) for t in rows.column("text").to_pylist()]
                 bits = np.stack([wide(x) for x in found])
                 yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array([digest(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), *(pa.array(bits[:, i]) for i in range(WORDS))], names=names)
+        release()
 
     return docs.select("key", "text").mapInArrow(run, "key long, node long, size int, " + ", ".join(f"{w} long" for w in words))
 
@@ -154,6 +155,7 @@ def _verified(texts: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
                 rows = batch.slice(at, SLICE)
                 sets = [shingles(t) for t in rows.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("root"), rows.column("chunks"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "chunks", "own"])
+        release()
 
     sets = texts.join(plan, F.col("root") == F.col("r")).select("node", "root", "chunks", "text").mapInArrow(cut, "node long, root long, chunks int, own array<long>")
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import release, written
 from .components import connected_components
 
 SEED = 42
@@ -188,6 +188,7 @@ def _compared(pairs: DataFrame, radius, ratio: tuple[int, int] | None = None) ->
                 us.append(u)
                 vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (us, vs)], names=["u", "v"])
+        release()
 
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
