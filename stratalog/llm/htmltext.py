@@ -1,10 +1,13 @@
 """The main text of a page by its line-block distribution.
 
-Markup is stripped to one line per block element. A line counts its text length, and nothing if it
-stands in a part of the page that is not the article (navigation, forms, notices, adverts,
-comments, found by element, role and class) or is mostly links. The counts are summed over sliding
-windows of lines; a stretch of text that has a surge ends
-where the sum dives to nothing, and all counted lines of it are kept. If the page marks its article, counting is confined to that.
+Markup is stripped to one line per block element. A line weighs its text length up to ``FULL``, less
+for links and for want of punctuation. Markup only weighs: lines in parts named as something else
+(navigation, notices, adverts, comments) weigh a small share, lines outside a marked article too, and
+lines inside one weigh ``MARKED`` at least. Lines that are noise beside the heaviest take no part;
+the weights of the others are summed over sliding windows of lines. A stretch begins where the
+sums surge and ends where they dive; it is the main text if its sums come near the page's largest.
+At its edges, and in gaps between two stretches, light lines are kept if they stand in the same
+container as the heavy ones beside them.
 """
 
 from __future__ import annotations
@@ -17,8 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
-SURGE = 86
-SURGE_SHARE = 0.1
+#: Weights: of a long line, of any line in a marked article at least, of headings and other lines at least.
+FULL, MARKED, HEADING, SHORT = 200, 80, 30, 10
+#: What part of its weight a line keeps without punctuation, in a part whose name says it is something
+#: else, in an element that is never the article, outside the marked article.
+UNPUNCTUATED, NAMED, NEVER, UNMARKED = 0.6, 0.005, 0.0005, 0.005
+#: Shares of the heaviest line below which a line is noise or light, and of the largest sum at which a
+#: stretch begins and ends and which it must reach; and the least sum that is a text.
+NOISE, LIGHT, DIVE, SURGE, LEAST = 0.024, 0.25, 0.1, 0.3, 0.5
 SLICE = 64
 
 _ATTRS = r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+"
@@ -27,6 +36,7 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
 _MARK = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_STOP = re.compile(r"[.,;:!?\u2026\u3001\u3002\uff01\uff0c\uff1f\u0964\u061f\u060c]")
 
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "select", "object", "video", "audio", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -34,6 +44,10 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 SPACED = {"br", "td", "th", "img", "input", "button"}
 OUTSIDE = {"head", "nav", "aside", "footer", "form", "menu", "dialog", "button", "fieldset", "search", "label"}
 PLAIN = {"html", "body", "main"}
+CONTAINERS = {"article", "aside", "body", "center", "div", "footer", "form", "header", "main", "nav", "section", "td"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that may hold the whole page.
+MAYBE = {"form"}
 SHUT_BY_BLOCK = {"p"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: Words of class names and ids that mark what is not the article.
@@ -44,56 +58,63 @@ NOT_PARTS = {"with", "has", "no", "without", "content", "main", "container", "wr
 
 
 class _Block:
-    __slots__ = ("text", "linked", "out", "article")
+    __slots__ = ("text", "linked", "out", "article", "container", "heading")
 
-    def __init__(self, out: bool, article: int):
-        self.text, self.linked, self.out, self.article = [], 0, out, article
+    def __init__(self, out: int, article: int, container: int, heading: bool):
+        self.text, self.linked, self.out, self.article, self.container, self.heading = [], 0, out, article, container, heading
 
 
-def _outside(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element holds something else than the article."""
+def _outside(name: str, attrs: str, in_article: bool) -> int:
+    """Whether an element holds something else than the article: 2 if its kind says so, 1 if only its
+    name, 0 if nothing does."""
+    if name in MAYBE:
+        return 1
     if name in OUTSIDE or name == "header" and not in_article:
-        return True
+        return 2
     if not attrs or name in PLAIN:
-        return False
+        return 0
+    out = 0
     for m in _MARK.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return 2
         if key == "role" and value.strip() in ROLES:
-            return True
+            return 2
         if key in ("class", "id"):
             for one in value.split():
                 words = set(_WORDS.findall(one))
                 if words & COMMENTS and not words & {"no", "has", "with"}:
-                    return True
+                    return 2
                 if name != "article" and words & PARTS and not words & NOT_PARTS:
-                    return True
+                    out = 1
                 if name != "article" and not in_article and words & HEADS and not words & NOT_PARTS:
-                    return True
-    return False
+                    out = 1
+    return out
 
 
 def lines(page: str) -> list[_Block]:
     """The blocks of a page in order, with what stands around each."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, outside, whether an article began here
-    outside, articles, links = 0, 0, 0
-    block = _Block(False, 0)
-    number = 0
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, outside, whether an article began here
+    outside, articles, links, headings = [0, 0, 0], 0, 0, 0  # how many of each are open
+    block = _Block(0, 0, 0, False)
+    number, containers, opened = 0, [0], 0
 
     def cut() -> None:
         nonlocal block
         if block.text:
             out.append(block)
-        block = _Block(outside > 0, number if articles else 0)
+        block = _Block(2 if outside[2] else int(outside[1] > 0), number if articles else 0, containers[-1], headings > 0)
 
     def pop() -> None:
-        nonlocal outside, articles, links
+        nonlocal articles, links, headings
         name, was_out, was_article = stack.pop()
-        outside -= was_out
+        outside[was_out] -= 1
         articles -= was_article
         links -= name == "a"
+        headings -= name in HEADINGS
+        if name in CONTAINERS:
+            containers.pop()
 
     def put(text: str) -> None:
         if text:
@@ -178,9 +199,13 @@ def lines(page: str) -> list[_Block]:
             number += 1
         away = _outside(name, attrs, articles > 0)
         stack.append((name, away, begins))
-        outside += away
+        outside[away] += 1
         articles += begins
         links += name == "a"
+        headings += name in HEADINGS
+        if name in CONTAINERS:
+            opened += 1
+            containers.append(opened)
         if name in BLOCK:
             cut()
         elif away:
@@ -189,37 +214,70 @@ def lines(page: str) -> list[_Block]:
     return out
 
 
+def weight(text: str, b: _Block, marked: bool) -> float:
+    """What a line weighs by its length, links, punctuation and markup."""
+    free = 1 - min(1.0, b.linked / len(text))
+    w = min(len(text), FULL) * free
+    w = max(w, HEADING if b.heading else SHORT) if free > 0.2 else 0.0
+    if not b.heading and not _STOP.search(text):
+        w *= UNPUNCTUATED
+    if b.article:
+        w = max(w, MARKED)
+    elif marked:
+        w *= UNMARKED
+    return w * (1, NAMED, NEVER)[b.out]
+
+
+def main_lines(weights: list[float], containers: list[int], headings: list[bool]) -> list[int]:
+    """The numbers of the lines of the main text, by the distribution of their weights."""
+    top = max(weights, default=0)
+    own = [i for i, w in enumerate(weights) if w > 0 and w >= NOISE * top]
+    sums = [sum(weights[i] for i in own[k : k + WINDOW]) for k in range(len(own))]
+    most = max(sums, default=0)
+    if most < LEAST:
+        return []
+    near = [any(x >= DIVE * most for x in sums[max(0, k - WINDOW + 1) : k + 1]) for k in range(len(own))]
+    stretch, begin = [0] * len(own), 0  # which stretch a line is in, if it is the main text
+    while begin < len(own):
+        end = begin
+        while end < len(own) and near[end] == near[begin]:
+            end += 1
+        if near[begin] and max(sums[begin:end]) >= SURGE * most:
+            stretch[begin:end] = [begin + 1] * (end - begin)
+        begin = end
+    heavy = [bool(s) and weights[i] >= LIGHT * top for s, i in zip(stretch, own)]
+    before, after, last = [], [], None  # the heavy lines next to each
+    for k, h in enumerate(heavy):
+        before.append(last)
+        last = k if h else last
+    last = None
+    for k in range(len(own) - 1, -1, -1):
+        after.append(last)
+        last = k if heavy[k] else last
+    after.reverse()
+    kept = []
+    for k, i in enumerate(own):
+        a, b = (x is not None and containers[own[x]] == containers[i] for x in (before[k], after[k]))
+        if heavy[k] or a and b or stretch[k] and (a or b):
+            kept.append(k)
+    while kept and headings[own[kept[-1]]] and len(kept) > 1 and containers[own[kept[-1]]] != containers[own[kept[-2]]]:
+        kept.pop()  # a heading of what follows the text
+    return [own[k] for k in kept]
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks joined by an empty line, white space inside a block as one space."""
-    kept: list[tuple[str, int, int]] = []  # text, counted length, article
-    for b in lines(page or ""):
-        text = _SPACE.sub(" ", entities.unescape("".join(b.text))).strip()
-        if text:
-            link_list = b.linked * 10 >= len(text) * 8
-            kept.append((text, 0 if b.out or link_list and not b.article else len(text), b.article))
-    if any(a and n for _, n, a in kept):
-        by: dict[int, int] = {}
-        for _, n, a in kept:
-            by[a] = by.get(a, 0) + n * (a > 0)
-        most = max(by.values())
-        kept = [(t, n if a and by[a] * 10 >= most else 0, a) for t, n, a in kept]
-    counts = [n for _, n, _ in kept]
-    sums = [sum(counts[i : i + WINDOW]) for i in range(len(counts))]
-    surge = min(SURGE, SURGE_SHARE * max(sums, default=0))
-    out, i = [], 0
-    while i < len(counts):
-        end = i
-        while end < len(counts) and sums[end]:  # the dive: a whole window without text
-            end += 1
-        if any(counts[k] and sums[k] >= surge for k in range(i, end)):
-            out.extend(t for t, n, _ in kept[i:end] if n)
-        i = max(end, i + 1)
-    return "\n\n".join(out)
+    found = [(text, b) for b in lines(page or "") if (text := _SPACE.sub(" ", entities.unescape("".join(b.text))).strip())]
+    marked = any(b.article and not b.out for _, b in found)
+    weights = [weight(text, b, marked) for text, b in found]
+    return "\n\n".join(found[i][0] for i in main_lines(weights, [b.container for _, b in found], [b.heading for _, b in found]))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """``(id, *keep, text string, n_chars long)`` for every row; a null page is empty, and a page
-    without an article gives an empty text. Whole pages, one pass, no shuffle."""
+    without an article gives an empty text. Rows that repeat an id or a page each keep their row;
+    columns that are not kept are not looked at; an empty table gives an empty result. Whole pages,
+    however long, one pass, no shuffle."""
     names = [f"k{i}" for i in range(len(keep))]
     slim = pages.select(F.col(id_col).alias("id"), F.col(html).alias("html"), *(F.col(c).alias(n) for c, n in zip(keep, names)))
 

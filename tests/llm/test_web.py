@@ -80,6 +80,51 @@ def test_odd_pages(page, want):
     assert htmltext.extract(page) == want
 
 
+P = ["The first paragraph tells what happened, and it is long enough to weigh something beside the menus.", "A second one goes on about it; nobody would take it for a menu or a notice.", "Then a third, with a number of words and commas, stops, and the like, as prose has."]
+
+
+def test_text_without_marks():
+    """Neither an article element nor telling names: the distribution finds the text."""
+    menu = "".join(f'<div><a href="/{i}">Topic {i}</a></div>' for i in range(12))
+    plain_menu = "".join(f"<div>Topic {i}</div>" for i in range(9))
+    body = "<div><h2>Head line</h2><p>" + "</p><p>".join([P[0], "Short.", P[1], "One", "Two", "Three", "Four", "Five", P[2], "The end."]) + "</p></div>"
+    page = f"<html><body><table><tr><td>{menu}{plain_menu}</td><td>{body}<div><h3>More</h3>{menu}</div></td></tr></table><div>Contact us</div><div>(c) 2024 Some Company</div></body></html>"
+    want = "\n\n".join(["Head line", P[0], "Short.", P[1], "One", "Two", "Three", "Four", "Five", P[2], "The end."])
+    assert htmltext.extract(page) == want
+    everything = [b for b in htmltext.lines(page)]
+    assert len(everything) > 35  # what the surge and the dive leave out
+
+
+def test_nothing_of_an_article_is_lost():
+    advert = '<div class="ad">Buy this now, it is cheap and good for you and yours.</div>'
+    page = f"<body><nav><a href=x>a</a></nav><article><h1>T</h1><p>{P[0] * 30}</p><p>{P[1] * 30}</p>{advert * 4}<p>Bye.</p></article><footer>Foot of the page, with text.</footer></body>"
+    assert htmltext.extract(page) == "\n\n".join(["T", P[0] * 30, P[1] * 30, "Bye."])
+    two = f"<body><article><p>{P[0] * 40}</p></article><article><p>A short one.</p></article><div class=comments><p>{P[1] * 9}</p></div></body>"
+    assert htmltext.extract(two) == P[0] * 40 + "\n\nA short one."
+    named = f'<body><div class="alert-levels legal"><p>{P[0]}</p><p>{P[1]}</p></div><div class=foot>x</div></body>'
+    assert htmltext.extract(named) == "\n\n".join(P[:2])
+    whole = f'<body><form action="/x"><div><p>{P[0]}</p><p>{P[1]}</p></div></form></body>'
+    assert htmltext.extract(whole) == "\n\n".join(P[:2])
+
+
+def test_markup_weighs_and_the_distribution_decides(monkeypatch, sf_dir):
+    """Without surge and dive, noise included, the pages of the table give other texts."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()
+    with_it = [htmltext.extract(x) for x in pages]
+    monkeypatch.setattr(htmltext, "main_lines", lambda weights, containers, headings: [i for i, w in enumerate(weights) if w > 0])
+    assert sum(htmltext.extract(x) != y for x, y in zip(pages, with_it)) > 0.9 * len(pages)
+
+
+def test_repeated_long_and_odd_page_rows(spark):
+    long = f"<article><p>{P[0] * 20000}</p></article>"
+    df = spark.createDataFrame([(1, "u", long, 5), (1, "u", long, 6), (2, None, "<p>x.</p>", 7)], "page_id long, url string, html string, n_chars int")
+    rows = sorted((r.page_id, r.url, r.n_chars) for r in htmltext.main_text(df).collect() if r.page_id == 1)
+    assert rows == [(1, "u", len(P[0]) * 20000)] * 2
+    assert htmltext.main_text(df.limit(0)).count() == 0
+
+
 def test_extraction_of_whole_table(spark, sf_dir):
     import html
     import re
