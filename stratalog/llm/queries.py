@@ -14,11 +14,13 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc import read_archives, write_archives
+    """Archives of nothing but responses, the same deduplicated, and what is read back of those."""
+    from .warc import dedup_archives, read_archives, write_archives
 
-    path = work_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    path, fresh = work_path(spark, "warc"), work_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path, revisits=False)
+    dedup_archives(spark, path, fresh)
+    return read_archives(spark, fresh, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,39 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(key, warc.read_archives(spark, str(tmp_path / "again")).collect())) == sorted(map(key, got))
 
 
+def test_long_payloads_members_and_damage(spark, tmp_path):
+    long = "".join(f"line {i} \u00e9\r\n\r\n" for i in range(400_000))
+    rows = [(i, "u", long if i in (2, 5) else f"page {i}", "") for i in range(8)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, PAGES), path, revisits=False)
+    warc.dedup_archives(spark, path, str(tmp_path / "d"))
+    got = {r.key: r for r in warc.read_archives(spark, str(tmp_path / "d")).collect()}
+    assert bytes(got[5].payload).decode() == long and (got[2].record_type, got[2].refers_to, got[2].payload_bytes) == ("revisit", 5, len(long.encode()))
+    raw = gzip.open(max(glob.glob(path + "/part-*"), key=lambda f: len(open(f, "rb").read()))).read()
+    one = [r["payload"] for r in warc.parse(raw)]
+    cut = raw.index(b"WARC/1.1", 10) if raw.count(b"WARC/1.1\r\n") > 1 else len(raw)
+    members = gzip.compress(raw[:cut]) + (gzip.compress(raw[cut:]) if cut < len(raw) else b"")
+    assert [r["payload"] for r in warc.parse(members)] == one
+    for bad in (raw.replace(b"line 7 ", b"line 8 "), raw[:-9], gzip.compress(raw)[:-40]):
+        with pytest.raises(warc.Damaged):
+            list(warc.parse(bad))
+
+
+def test_revisits_are_joined_to_their_responses(spark, tmp_path):
+    """Archives that hold revisits already, of which one has the largest key, and one refers to nothing."""
+    first, second = str(tmp_path / "a" / "x"), str(tmp_path / "b")
+    warc.write_archives(spark.createDataFrame([(1, "u", "same", ""), (2, "u", "same", ""), (3, "u", "other", "")], PAGES), first, compression="none")
+    files = glob.glob(first + "/part-*")
+    for f in files:  # the response gets the smallest key
+        data = open(f, "rb").read().replace(b"X-Row-Key: 2", b"X-Row-Key: 0")
+        open(f, "wb").write(data)
+    for f in glob.glob(first + "/.*.crc"):
+        __import__("os").remove(f)
+    warc.dedup_archives(spark, first, second)
+    got = {r.key: (r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read_archives(spark, second).collect()}
+    assert got == {0: ("revisit", 1, None), 1: ("response", None, b"same"), 3: ("response", None, b"other")}
+
+
 def test_small_payloads_and_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab", ""), (2, "u", "ab", ""), (3, "u", "abcd", ""), (4, "u", "abcd", "")], PAGES)
     warc.write_archives(df, str(tmp_path / "w"), least_bytes=3, compression="none")
