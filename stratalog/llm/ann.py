@@ -6,7 +6,7 @@ so that the matrix product runs at full speed. With the quantisation errors they
 distance from both sides. The k-th smallest upper bound of a query is a threshold that no
 neighbour's lower bound exceeds, so only pairs below it are computed again, in double precision
 from the original vectors. Each query keeps a heap of its nearest; heaps of tiles are merged by a
-grouped aggregate. Nothing is approximated away: the result is that of an exhaustive search.
+ranking that is limited on both sides of the shuffle. Nothing is approximated away: the result is that of an exhaustive search.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import written
 
@@ -48,6 +48,23 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def tile(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """``(query row, candidate id, distance)``: the k nearest of each query in one tile."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        return _tile(q_id, q, c_id, c, k)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows to a vector, summed in the order of the components; where the squares leave the range
+    of doubles, of both scaled by a power of two."""
+    d = np.sqrt(np.cumsum((x - y) ** 2, axis=1)[:, -1])
+    odd = ~np.isfinite(d) | (d < 1e-140)
+    if odd.any():
+        most = np.maximum(np.abs(x[odd]).max(1), np.abs(y).max())
+        scale = np.exp2(np.frexp(most)[1].astype(float) - 1)[:, None]  # differences fit in, too
+        d[odd] = np.sqrt(np.cumsum((x[odd] / scale / 2 - y / scale / 2) ** 2, axis=1)[:, -1]) * scale[:, 0] * 2
+    return d
+
+
+def _tile(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     found = []
     step = max(1, TILE_VALUES // len(c))
     cq, c_scale, c_error = quantise(c)
@@ -61,13 +78,14 @@ def tile(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: in
         square = q_square[:, None] + c_square[None, :] - 2 * products(qq.astype(np.float32), c_wide) * q_scale[:, None] * c_scale[None, :]
         near = np.sqrt(np.maximum(square, 0))
         # beside the quantisation errors, what double precision may lose in the sums above
-        slack = q_error[:, None] + c_error[None, :] + 1e-7 * (np.sqrt(q_square)[:, None] + np.sqrt(c_square)[None, :])
+        slack = q_error[:, None] + c_error[None, :] + 1e-7 * (np.sqrt(q_square)[:, None] + np.sqrt(c_square)[None, :]) + 1e-130
         other = ids[:, None] != c_id[None, :]
-        upper = np.where(other, near + slack, np.inf)
+        upper = near + slack
+        upper = np.where(other & ~np.isnan(upper), upper, np.inf)  # bounds beyond the range tell nothing
         kth = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(part), np.inf)
-        for i, j in enumerate(((near - slack) <= kth[:, None]) & other):
+        for i, j in enumerate(~((near - slack) > kth[:, None]) & other):
             rows = np.flatnonzero(j)
-            d = np.sqrt(np.cumsum((c[rows] - part[i]) ** 2, axis=1)[:, -1])  # summed in the order of the components
+            d = distances(c[rows], part[i])
             heap = heapq.nsmallest(k, zip(d.tolist(), c_id[rows].tolist()))
             found.extend((at + i, v, s) for s, v in heap)
     return found
@@ -86,7 +104,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     Candidates are all rows but those with the query's own id. Vectors that are null, zero, empty
     or hold null or non-finite components take no part, nor do null ids. Vectors are only compared
     with those of equal length. A row that repeats an id with another vector is a candidate of its
-    own; a query that repeats id and vector is asked once. An empty table gives an empty result.
+    own; query rows that repeat an id are one query, whose nearest are those of all its rows, each pair
+    of rows counting for itself. An empty table gives an empty result.
 
     Blocks are dealt by hash, so groups of equal vectors spread. The candidates' tiles are shuffled
     once for each query block and the queries' once for each candidate block; block sizes bound
@@ -106,20 +125,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     placed = slim.select("*", plan.alias("p"), F.xxhash64("id", "x").alias("h")).where("p is not null")
     own = lambda n: F.pmod("h", F.col(f"p.{n}")).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"p.{n}") - 1))
-    candidates = placed.select("d", "id", "h", "x", F.lit(False).alias("query"), own("cb").alias("c"), all_of("qb").alias("b"))
-    queries = placed.where("q").dropDuplicates(["id", "h"]).select("d", "id", "h", "x", F.lit(True).alias("query"), all_of("cb").alias("c"), own("qb").alias("b"))
+    candidates = placed.select("d", "id", "x", F.lit(False).alias("query"), own("cb").alias("c"), all_of("qb").alias("b"))
+    queries = placed.where("q").select("d", "id", "x", F.lit(True).alias("query"), all_of("cb").alias("c"), own("qb").alias("b"))
     dealt = candidates.unionByName(queries)
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["query"].to_numpy(bool)
         found: list[tuple[int, int, float]] = []
-        ids, h = group["id"].to_numpy(np.int64), group["h"].to_numpy(np.int64)
+        ids = group["id"].to_numpy(np.int64)
         if asks.any() and not asks.all():
             x = np.stack(group["x"].to_numpy())
             found = tile(ids[asks], x[asks], ids[~asks], x[~asks], k)
         row = np.array([i for i, _, _ in found], np.int64)
-        return pd.DataFrame({"query_id": ids[asks][row], "h": h[asks][row], "vec_id": np.array([v for _, v, _ in found], np.int64), "score": np.array([s for _, _, s in found], float)})
+        return pd.DataFrame({"query_id": ids[asks][row], "vec_id": np.array([v for _, v, _ in found], np.int64), "score": np.array([s for _, _, s in found], float)})
 
-    heaps = dealt.groupBy("d", "c", "b").applyInPandas(run, "query_id long, h long, vec_id long, score double")
-    merged = heaps.groupBy("query_id", "h").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near"))
-    return merged.select("query_id", F.posexplode("near").alias("at", "n")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score"))
+    heaps = dealt.groupBy("d", "c", "b").applyInPandas(run, "query_id long, vec_id long, score double")
+    # the best k of each task go on, and of those the best k: no query's heaps are gathered in one place
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return heaps.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

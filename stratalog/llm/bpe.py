@@ -310,6 +310,20 @@ def _coder(shared, pattern: str) -> tuple[Encoder, Decoder]:
     return _coders[digest, pattern]
 
 
+def _uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with garbage looked for after each of them only: the tables have no cycles, and
+    looking for some all the time takes longer than the work. Afterwards all is as it was."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        for batch in batches:
+            yield batch
+            gc.collect()
+    finally:
+        if was:
+            gc.enable()
+
+
 def defaults(path: str | None = None, pattern: str | None = None) -> tuple[str, str]:
     import public_tokenizers
 
@@ -326,15 +340,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     shared = shared_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the tables have no cycles, and looking for some all the time takes longer than the work
         encoder = _coder(shared, pattern)[0]
-        for batch in batches:
+        for batch in _uncollected(batches):
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
                 ids = [np.array(encoder.encode(t), np.int32) for t in rows.column("text").to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(ends, np.concatenate(ids))], names=["id", "ids"])
-            gc.collect()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     out = slim.select("id", F.array(F.lit(0)).alias("ids")).schema
@@ -376,9 +388,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
     shared = shared_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         encoder, decoder = _coder(shared, pattern)
-        for batch in batches:
+        for batch in _uncollected(batches):
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
                 lists = [encoder.encode(t) for t in rows.column("text").to_pylist()]
@@ -386,7 +397,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(ends, flat), pa.array(raw, pa.binary())], names=["id", "ids", "decoded"])
-            gc.collect()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     out = slim.select("id", F.array(F.lit(0)).alias("ids"), F.lit(b"").alias("decoded")).schema

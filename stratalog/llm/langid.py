@@ -14,19 +14,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BITS = 12
 DIM = 1 << BITS
 CLUSTERS = 6
-#: The model is fitted on a sample: about so many texts of each language, so many languages at most.
-SAMPLE = 500
-MAX_LANGUAGES = 400
+#: The model is fitted on a sample: of each language so many texts at most, and so many characters;
+#: with many languages fewer texts, so that all together stay under ``SAMPLE_TOTAL``, but ``LEAST`` at least.
+SAMPLE, SAMPLE_CHARS, SAMPLE_TOTAL, LEAST = 500, 1 << 22, 20_000, 12
+#: Languages whose centroids a worker can hold; more are an error.
+MAX_LANGUAGES = 4_000
 #: What share of the sample's pieces of a length lies under the bound, and what part of the cosine there is the bound.
 REJECT_SHARE = 0.002
 REJECT_SCALE = 0.6
 SLICE = 64
-SPLIT_CHARS = 1 << 20
+#: Characters of a text that are looked at together.
+PORTION = 1 << 20
 
 _LETTER = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x10000)), bool)
 _WORD = re.compile(r"[^\W\d_]")
@@ -38,18 +41,20 @@ def has_letter(text: str | None) -> bool:
 
 def grams(text: str) -> np.ndarray:
     """The hashed bigrams and trigrams of a text's lower-cased letters; anything else is a gap of one."""
-    out = []
-    for at in range(0, len(text), SPLIT_CHARS):
-        codes = np.frombuffer(text[at : at + SPLIT_CHARS].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(_LETTER[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF), codes, np.uint32(32))
-        codes = np.concatenate(([np.uint32(32)], codes, [np.uint32(32)]))
-        codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
+    out, text, gap = [], text.lower(), np.uint32(32)
+    last = np.array([gap])  # what the portion before ends in
+    for at in range(0, len(text), PORTION):
+        codes = np.frombuffer(text[at : at + PORTION].encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(_LETTER[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF), codes, gap)
+        codes = np.concatenate((last, codes, np.array([gap][: at + PORTION >= len(text)], np.uint32)))
+        codes = codes[np.concatenate(([True], (codes[1:] != gap) | (codes[:-1] != gap)))]
         a = codes * np.uint32(0x9E3779B1)
         b = a[:-1] ^ (codes[1:] * np.uint32(0x85EBCA77))
         c = b[:-1] ^ (codes[2:] * np.uint32(0xC2B2AE3D))
-        for x in (b, c):
+        for x in (b[len(last) - 1 :], c):
             x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             out.append(x >> np.uint32(32 - BITS))
+        last = codes[-2:]
     return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -100,11 +105,15 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[str], clusters: int = CLUSTERS) -> Model:
     languages = sorted(set(labels))
-    tf = np.concatenate([counts(texts[i : i + SLICE]) for i in range(0, len(texts), SLICE)])
-    idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
-    x = _unit(np.log1p(tf) * idf)
-    which = np.array([languages.index(v) for v in labels])
-    centroids = [_clusters(x[which == i], clusters) for i in range(len(languages))]
+    by: dict[str, list[str]] = {k: [] for k in languages}
+    for t, v in zip(texts, labels):
+        by[v].append(t)
+    tfs = lambda own: np.concatenate([counts(own[i : i + SLICE]) for i in range(0, len(own), SLICE)])
+    found = np.zeros(DIM)
+    for k in languages:  # one language at a time is in memory
+        found += (tfs(by[k]) > 0).sum(0)
+    idf = np.log((1 + len(texts)) / (1 + found)).astype(np.float32) + 1
+    centroids = [_clusters(_unit(np.log1p(tfs(by[k])) * idf), clusters) for k in languages]
     model = Model(languages, np.repeat(np.arange(len(languages)), [len(c) for c in centroids]), np.concatenate(centroids), idf, np.zeros(16))
     reached: list[list[float]] = [[] for _ in range(16)]
     for size in (1, 4, 16, 64, 256, 1 << 30):  # pieces of so many words
@@ -124,31 +133,36 @@ def fit(texts: list[str], labels: list[str], clusters: int = CLUSTERS) -> Model:
     return model
 
 
-def learn(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model from a sample of the rows that ``learn_from`` admits and that have text and label:
-    about ``sample`` a language, by a hash of the id. None if there is no such row."""
+def learn(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, sample_total: int = SAMPLE_TOTAL) -> Model | None:
+    """A model of every label, from a sample of the rows that ``learn_from`` admits and that have
+    text and label, by a hash of id and text: of each label at most ``sample`` whole texts and
+    ``sample_chars`` characters, one text at least. None if there is no such row; an error if there
+    are more than ``MAX_LANGUAGES`` labels."""
     rows = docs.where(learn_from & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if not sizes:
         return None
-    part = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, float(min(1.0, 1.2 * sample / n)))))
-    spot = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), "text"), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.where(spot < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(0.0))).collect()
-    by: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["id"] or "", r["text"])):
-        by.setdefault(r["lang"], []).append(r["text"])
-    return fit([t for k in by for t in by[k]], [k for k in by for _ in by[k]])
-
-
-_models: dict[int, Model] = {}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    each = max(LEAST, min(sample, sample_total // len(sizes)))
+    # a first choice of somewhat more than is wanted, then the exact bounds over what is left
+    part = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, float(min(1.0, (1.2 * each + 20) / n)))))
+    spot = F.xxhash64(F.coalesce("id", F.lit("")), "text")
+    few = rows.withColumn("spot", spot).where(F.pmod("spot", F.lit(1 << 20)) / float(1 << 20) < F.try_element_at(part, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("spot", "id", "text")
+    placed = few.withColumns({"place": F.row_number().over(order), "chars": F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    picked = placed.where((F.col("place") <= each) & ((F.col("chars") <= sample_chars) | (F.col("place") == 1))).select("lang", "id", "text").collect()
+    picked = sorted(picked, key=lambda r: (r["lang"], r["id"] or "", r["text"]))
+    return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, lang_pred, score, rejected, *keep)`` for every row, from the text alone.
 
     ``und`` with score 0, rejected, where a text is null or has no letter, and where there is no
-    model. The model (some hundred centroids of 4,096 floats, so many languages at most) is
-    broadcast. No shuffle.
+    model. Whole texts count, of any length; rows that repeat an id or a text each keep their row; an
+    empty table gives an empty result. The model is broadcast: six centroids of 4,096 floats a
+    language, 100 KB, of ``MAX_LANGUAGES`` at most. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 #: A vocabulary file is broadcast, so its size has a bound.
 MAX_VOCABULARY_BYTES = 64 << 20
+_NESTED = re.compile(r"\[[^\]]*\\[pPsSdDwW]")
 _BEYOND_BMP = re.compile("[\U00010000-\U0010ffff]")
 
 
@@ -32,11 +33,14 @@ def _ranges(prop: str) -> str:
 def splitter(pattern: str):
     """``findall`` of ``pattern``. Texts inside the basic plane go through the standard library's
     engine, with the property classes spelt out, which is some three times as fast; others through
-    ``regex``. Both give the same pieces."""
+    ``regex``. Both give the same pieces. A pattern with property classes inside other classes than
+    the one that is rewritten goes through ``regex`` altogether."""
+    general = regex.compile(pattern).findall
+    if _NESTED.search(pattern.replace(r"[^\s\p{L}\p{N}]", "")) or re.search(r"\\\\|&&|--|\(\?[a-zA-Z]", pattern):
+        return general
     letters, numbers, spaces = _ranges(r"\p{L}"), _ranges(r"\p{N}"), _ranges(r"\s")
     spelt = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
-    general = regex.compile(pattern).findall
-    if r"\p" in spelt:
+    if r"\p" in spelt or r"\P" in spelt:
         return general
     plain = re.compile(spelt).findall
     beyond = _BEYOND_BMP.search

@@ -71,9 +71,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first call counts and fills the cache, the second finds every text in it."""
     from .tokcount import count_tokens
 
-    out = count_tokens(table(spark, sf_dir, "documents"))
+    cache = work_path(spark, "token-counts")
+    count_tokens(table(spark, sf_dir, "documents"), cache=cache)
+    out = count_tokens(table(spark, sf_dir, "documents"), cache=cache)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 

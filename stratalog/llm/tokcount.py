@@ -1,6 +1,6 @@
 """Token counts through a digest cache.
 
-The cache is a table ``(digest, tokenizer, n_tokens)`` in the shared folder. Contents are joined to
+The cache is a table ``(digest, n_tokens, tokenizer)``, partitioned by tokenizer, in the shared folder. Contents are joined to
 it by digest under the tokenizer's own digest; one row of each content that is missing is encoded,
 and the new counts are appended. Normalising a content means reading null as empty and text as
 UTF-8: anything more could change the count.
@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import work_path, written
 from .pretok import shared_file, splitter
@@ -25,7 +25,9 @@ LONG_PIECE = 64
 SLICE = 64
 #: The library makes an object with offsets for each piece, so it gets so many at a time.
 CHUNK = 1024
-CACHE = "digest binary, tokenizer string, n_tokens long"
+#: Digests are told apart by so many buckets before any text is shuffled: 8 MB of numbers.
+BUCKETS = 1 << 20
+CACHE = "digest binary, n_tokens long, tokenizer string"
 
 
 class Counter(dict):
@@ -88,15 +90,23 @@ class Counter(dict):
 _counters: dict[str, Counter] = {}
 
 
+def _bucket(digest: str) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(BUCKETS)).cast("int")
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, cache: str | None = None) -> DataFrame:
     """``(id, n_bytes long, n_tokens long, digest binary)`` for every row: whole texts, without
     begin, end or added special tokens, special strings as the library's default has them.
 
-    ``cache``: path of the count table; later calls find there what earlier ones have counted. By
-    default each call has its own in the shared folder. A null text counts as empty. Of equal texts
-    one is encoded; rows that repeat an id each keep their row, a null id too. An empty table gives
-    an empty result. Only ids and digests are shuffled to find the misses, then each missing text
-    once; the joins on the digest are ones that adaptive execution can split.
+    ``cache``: path of the count table, a folder for each tokenizer; later calls find there what
+    earlier ones have counted. By default each call has its own in the shared folder. A null text
+    counts as empty. Of equal texts one is encoded; rows that repeat an id each keep their row, a
+    null id too; other columns are not looked at. An empty table gives an empty result.
+
+    Ids and digests are shuffled to find the misses. Texts whose digest nothing shares and that
+    are not in the cache are encoded where they are; buckets of digests, at most ``BUCKETS`` numbers,
+    are broadcast to tell them. The others are shuffled to find the one of each digest to encode; all
+    joins on the digest are ones that adaptive execution can split.
     """
     import public_tokenizers
 
@@ -108,9 +118,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
     slim = slim.withColumn("digest", F.unhex(F.sha2("text", 256)))
     keys = written(slim.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "keys")
     cache = cache or work_path(spark, "token-counts")
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
+    put = lambda counts: counts.write.mode("append").partitionBy("tokenizer").parquet(cache)
+    put(spark.createDataFrame([], CACHE))
     known = lambda: spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    misses = keys.groupBy("digest").agg(F.min("id").alias("first")).join(known(), "digest", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if version not in _counters:
@@ -120,10 +130,17 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
                 counts = counter.count(rows.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column("digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
-
-    wanted = misses.select(F.col("digest").alias("d"), "first").hint("shuffle_hash")
-    texts = slim.join(wanted, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
-    texts.select("digest", "text").mapInArrow(run, CACHE).write.mode("append").parquet(cache)
+                yield pa.RecordBatch.from_arrays([rows.column("digest"), pa.array(counts, pa.int64()), pa.array([version] * len(counts), pa.string())], names=["digest", "n_tokens", "tokenizer"])
+
+    held = keys.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    held = written(held.join(known().select("digest", F.lit(True).alias("cached")), "digest", "left"), "held")
+    marks = held.select(_bucket("digest").alias("mark"), F.col("cached").isNull().alias("missing"), ((F.col("n") > 1) | F.col("cached").isNotNull()).alias("several"))
+    marks = written(marks.groupBy("mark").agg(F.max("missing").alias("missing"), F.max("several").alias("several")).where("missing"), "marks")
+    if not marks.isEmpty():
+        marked = slim.withColumn("bucket", _bucket("digest")).join(F.broadcast(marks), F.col("bucket") == F.col("mark")).drop("bucket", "mark", "missing")
+        own = held.where("cached IS NULL").select(F.col("digest").alias("d"), "first")
+        one = marked.where("several").select("digest", "text", "id").join(own, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
+        alone = marked.where("NOT several").select("digest", "text")
+        put(alone.unionByName(one.select("digest", "text")).mapInArrow(run, CACHE))
     counted = written(known(), "counts")  # so that the join below has no aggregate beside it, and hot digests can be split
     return keys.join(counted, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "digest")

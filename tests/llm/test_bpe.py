@@ -117,3 +117,53 @@ def test_cache_is_used_and_grows(spark, tmp_path):
 def test_ranks_file_is_read(ranks):
     line = open(PATH, "rb").readline().split()
     assert ranks[base64.b64decode(line[0])] == int(line[1])
+
+
+def test_other_patterns_split_as_the_general_engine():
+    import regex
+
+    from stratalog.llm.pretok import splitter
+
+    text = "Hello world, it's 2024!\r\n  naïve 漢字 x_y é😀 don't"
+    for pattern in (public_tokenizers.PATTERN, r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+", r"[\p{L}\d]+|\W", r"\p{L}+|[^\p{L}]", r"(?i:'s)|\p{Lu}\p{Ll}*|\s|."):
+        assert splitter(pattern)(text) == regex.findall(pattern, text)
+
+
+def test_garbage_collection_is_as_it_was():
+    import gc
+
+    assert gc.isenabled()
+    seen = [gc.isenabled() for _ in bpe._uncollected(iter([1, 2]))]
+    assert seen == [False, False] and gc.isenabled()
+    some = bpe._uncollected(iter([1, 2]))
+    next(some)
+    some.close()  # a task that ends early
+    assert gc.isenabled()
+
+
+def test_query_counts_like_the_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    from stratalog.llm import queries
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {d: len(e) for d, e in zip(texts, t.encode_batch(list(texts.values()), add_special_tokens=False))}
+    rows = queries.op9_token_counts(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows} == {d: (len(x.encode()), want[d], want[d] > 1024) for d, x in texts.items()}
+
+
+def test_a_second_call_encodes_nothing(spark, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    rows = [(i, f"text {i % 7}", 1, b"x") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, digest binary")
+    first = sorted((r.doc_id, r.n_tokens) for r in tokcount.count_tokens(df, cache=cache).collect())
+    monkeypatch.setattr(tokcount, "Counter", None)
+    files = sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet"))
+    assert sorted((r.doc_id, r.n_tokens) for r in tokcount.count_tokens(df, cache=cache).collect()) == first
+    assert sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet")) == files and spark.read.parquet(cache).count() == 7
+    monkeypatch.undo()
+    monkeypatch.setattr(tokcount, "BUCKETS", 2)  # nearly all digests share a bucket with others
+    more = spark.createDataFrame([(i, f"text {i % 11}", 1, b"x") for i in range(30)], df.schema)
+    got = {r.doc_id: r.n_tokens for r in tokcount.count_tokens(more, cache=cache).collect()}
+    assert len(got) == 30 and spark.read.parquet(cache).count() == 11

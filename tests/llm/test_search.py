@@ -47,3 +47,17 @@ def test_wide_vectors_are_exact():
     rng = np.random.default_rng(2)
     a = rng.integers(-127, 128, (3, 3000)).astype(np.float32)
     assert (ann.products(a, a) == a.astype(np.int64) @ a.astype(np.int64).T).all()
+
+
+def test_repeated_rows_and_huge_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [5.0, 1.0]), (3, [9.0, 9.0])]
+    df = spark.createDataFrame([(i, x, 1) for i, x in rows], VECTORS)
+    want = sorted((float(np.hypot(a[0] - b[0], a[1] - b[1])), j) for i, a in rows for j, b in rows if i == 0 and j != 0)[:4]
+    got = ann.nearest(df, F.col("vec_id") == 0, 4).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(n + 1, v) for n, (_, v) in enumerate(want)]
+    for scale in (1e200, 1e-200, 1.5e308):
+        x = [(0, [scale, 0.0]), (1, [scale, scale / 4]), (2, [scale / 2, 0.0]), (3, [-scale, 0.0]), (4, [1.0, 1.0])]
+        df = spark.createDataFrame([(i, v, 1) for i, v in x], VECTORS.replace("float", "double"))
+        got = ann.nearest(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == ([1, 2, 3] if scale < 1 else [1, 2, 4])
+        assert np.isclose(got[0].score, scale / 4) and np.isclose(got[1].score, scale / 2)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -36,6 +37,47 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify(df, langid.learn(df.limit(0), F.lit(True))).collect()} == {"und"}
 
 
+def test_many_labels_long_texts_and_repeats(spark):
+    """Every label is learned, however rare; portions of a long text make no difference."""
+    rng = random.Random(2)
+    syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(400)]
+    speak = lambda k, n: " ".join("".join(random.Random(f"{k}{rng.randrange(12)}").choices(syllables[k % 390 : k % 390 + 5] + syllables[k * 7 % 380 : k * 7 % 380 + 4], k=3)) for _ in range(n))
+    rows = [(k * 10 + i, speak(k, 30), f"l{k:03}") for k in range(120) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, F.col("doc_id") % 10 != 5, sample_total=200)
+    assert len(model.languages) == 120 and langid.learn(df.limit(0), F.lit(True)) is None
+    found = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    held = [(d, v) for d, _, v in rows if d % 10 == 5]
+    assert sum(found[d] == v for d, v in held) / len(held) > 0.9
+    long = speak(3, 40000)
+    odd = spark.createDataFrame([(1, long), (1, long), (None, long)], "doc_id long, text string")
+    assert [(r.lang_pred, r.rejected) for r in langid.identify(odd, model).collect()] == [("l003", False)] * 3
+    assert langid.identify(df.limit(0), model).count() == 0
+    whole = langid.counts([long[:5000]])
+    try:
+        langid.PORTION = 7
+        assert (langid.counts([long[:5000]]) == whole).all()
+    finally:
+        langid.PORTION = 1 << 20
+
+
+def test_predictions_are_the_nearest_centroids(spark, sf_dir):
+    """Against the cosines computed one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.learn(docs, ~langid.held_out())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.identify(docs, model).collect():
+        if not langid.has_letter(texts[r.doc_id]):
+            continue
+        tf = langid.counts([texts[r.doc_id]])[0].astype(float)
+        v = [math.log1p(x) * float(w) for x, w in zip(tf, model.idf)]
+        size = math.sqrt(sum(x * x for x in v))
+        cosines = (model.centroids.astype(float) @ v) / size
+        best = max(cosines)
+        assert abs(r.score - min(1, max(0, best))) < 1e-4
+        assert best - max(c for c, k in zip(cosines, model.owner) if model.languages[k] == r.lang_pred) < 1e-4
+
+
 # -- decontamination
 
 
