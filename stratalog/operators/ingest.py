@@ -11,12 +11,13 @@ from ..work import written
 from . import learner
 
 #: Sequence numbers in a block: windows run within a block, and blocks of one source run side by side.
-BLOCK = 1 << 14
+#: So many blocks make a span, within which their sizes are summed up.
+BLOCK, SPAN = 1 << 14, 1 << 12
 
 
 @dataclass
 class Ingested:
-    """What a batch adds: entries and raws are new rows, templates the whole dimension after it."""
+    """What a batch adds: entries, raws and plans are new rows, templates the whole dimension after it."""
 
     templates: DataFrame
     entries: DataFrame
@@ -27,13 +28,17 @@ class Ingested:
 def numbered(rows: DataFrame, name: str, first: int) -> DataFrame:
     """``rows(source, seq, ...)`` with ids from ``first`` in the order of source and sequence.
 
-    Ids are counted within blocks of the sequence; only the blocks' sizes, a few numbers, are summed
-    up in one place.
+    Ids are counted within blocks of the sequence, the blocks' sizes within spans of blocks, and only
+    the spans' sizes, a number for every 64 million rows, are summed up in one place.
     """
     block = rows.withColumn("__block", F.floor(F.col("seq") / BLOCK))
-    sizes = block.groupBy("source", "__block").agg(F.count("*").alias("__n"))
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("source", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    offsets = offsets.select(F.col("source").alias("__s"), F.col("__block").alias("__b"), "__before")
+    sizes = block.groupBy("source", "__block").agg(F.count("*").alias("__n")).withColumn("__span", F.floor(F.col("__block") / SPAN))
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.groupBy("source", "__span").agg(F.sum("__n").alias("__m"))
+    spans = spans.select(F.col("source").alias("__s"), F.col("__span").alias("__p"), F.coalesce(F.sum("__m").over(before(Window.orderBy("source", "__span"))), F.lit(0)).alias("__far"))
+    near = F.coalesce(F.sum("__n").over(before(Window.partitionBy("source", "__span").orderBy("__block"))), F.lit(0))
+    offsets = sizes.withColumn("__near", near).join(spans, F.col("source").eqNullSafe(F.col("__s")) & F.col("__span").eqNullSafe(F.col("__p"))).drop("__s")
+    offsets = offsets.select(F.col("source").alias("__s"), F.col("__block").alias("__b"), (F.col("__far") + F.col("__near")).alias("__before"))
     joined = block.join(offsets, F.col("source").eqNullSafe(F.col("__s")) & F.col("__block").eqNullSafe(F.col("__b")))
     within = F.row_number().over(Window.partitionBy("source", "__block").orderBy("seq"))
     return joined.withColumn(name, (F.col("__before") + within + first - 1).cast("long")).drop("__block", "__before", "__s", "__b")
@@ -74,11 +79,10 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     rows = written(rows, "parsed") if batch else rows
     opaque = masking.has_marks(F.col("header"))
     patterns = written(rows.where(~opaque).groupBy("pattern").agg(F.count("*").alias("n"), F.min(F.struct("source", "seq")).alias("first"), F.min("log_timestamp").alias("first_ts"), F.max("log_timestamp").alias("last_ts")), "patterns")
-    templates = written(templates, "templates-before")
     new = patterns.join(templates.select("pattern"), "pattern", "left_anti").select("pattern")
     planned = known_plans.select(F.col("source_pattern").alias("pattern"), F.col("final_pattern").alias("planned"))
     found = learner.plans(new, max_branching) if learn else spark.createDataFrame([], "source_pattern string, final_pattern string")
-    found = written(found.select(F.col("source_pattern").alias("pattern"), F.col("final_pattern").alias("learned")), "learned")
+    found = found.select(F.col("source_pattern").alias("pattern"), F.col("final_pattern").alias("learned"))
     fitting = learner.matches(patterns.select("pattern"), templates.where(F.contains("pattern", F.lit(learner.VAR)))).select("pattern", F.col("final_pattern").alias("fitting"))
     resolved = patterns.join(planned, "pattern", "left").join(fitting, "pattern", "left").join(found, "pattern", "left")
     resolved = resolved.join(templates.select("pattern", F.lit(True).alias("is_template")), "pattern", "left")
@@ -93,7 +97,7 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     fresh = fresh.withColumn("template_id", F.row_number().over(Window.orderBy("first", "final_pattern")) + F.lit(last[0]))
     now = F.timestamp_millis(F.lit(now_ms))
     added = fresh.select(F.col("template_id").cast("long").alias("template_id"), F.col("final_pattern").alias("pattern"), F.lit(0).cast("long").alias("occurrences"), now.alias("created_at"), now.alias("updated_at"))
-    after = written(templates.unionByName(added), "templates-after")
+    after = templates.unionByName(added)
 
     dimension = resolved.select(F.col("pattern").alias("source_pattern"), "final_pattern").join(after.select("template_id", F.col("pattern").alias("final_pattern")), "final_pattern", "left")
     dimension = dimension.withColumn("final_literals", masking.literals(F.col("final_pattern")))
@@ -101,11 +105,12 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     joined = rows.join(dimension, (F.col("pattern") == F.col("source_pattern")) & ~opaque, "left")
     joined = joined.withColumn("final", F.when(F.col("source_pattern") == F.col("final_pattern"), F.col("params")).otherwise(learner.final_params(F.col("program"), F.col("params"))))
     exact = F.col("template_id").isNotNull() & F.coalesce(masking.fill(F.col("final_literals"), F.col("final")) == F.col("header"), F.lit(False))
-    checked = written(joined.select("source", "seq", "header", "continuation", "log_timestamp", "template_id", F.col("final").alias("params"), exact.alias("exact")), "checked")
+    # taken twice, by the entries and by the few raw rows: cheaper than a copy of all rows
+    checked = joined.select("source", "seq", "header", "continuation", "log_timestamp", "template_id", F.col("final").alias("params"), exact.alias("exact"))
     text_of = F.when(F.size("continuation") > 0, F.array_join("continuation", "\n"))
     entries = numbered(checked.where("exact"), "entry_id", next_entry).select("entry_id", "template_id", "log_timestamp", "params", text_of.alias("continuation_text"))
     raws = numbered(checked.where("not exact"), "log_id", next_log).select("log_id", F.concat_ws("\n", "header", text_of).alias("content"), "log_timestamp", "source", now.alias("created_at"))
     counts = checked.where("exact").groupBy("template_id").agg(F.count("*").alias("more"))
     counted = after.join(counts, "template_id", "left").select("template_id", "pattern", (F.col("occurrences") + F.coalesce("more", F.lit(0))).alias("occurrences"), "created_at", F.when(F.col("more") > 0, now).otherwise(F.col("updated_at")).alias("updated_at"))
-    kept = known_plans.unionByName(dimension.where("template_id is not null and source_pattern <> final_pattern").select("source_pattern", "final_pattern")).dropDuplicates(["source_pattern"])
-    return Ingested(counted, entries, raws, kept)
+    learned = dimension.where("template_id is not null and source_pattern <> final_pattern").select("source_pattern", "final_pattern")
+    return Ingested(counted, entries, raws, learned.join(known_plans.select("source_pattern"), "source_pattern", "left_anti"))

@@ -13,11 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import masking
+from ..work import written
 
 VAR = "{var}"
 MAX_BRANCHING = 8
-#: The distinct patterns of a store; a pattern beyond that is stored raw.
+#: The templates of a store; lines of a pattern beyond that are stored raw.
 MAX_TEMPLATES = 100_000
+#: Patterns of a group that one Python task takes.
+GROUP_ROWS = 20_000
 # Fixed value: what tells an identifier from a word.
 _ID = re.compile(r"[0-9{}=/\\@#+|~]")
 _PIECE = re.compile(r"\{\{|\}\}|\{[^}]*\}")
@@ -62,18 +65,60 @@ def learn(patterns: list[str], max_branching: int = MAX_BRANCHING) -> dict[str,
     return out
 
 
-def plans(patterns: DataFrame, max_branching: int = MAX_BRANCHING) -> DataFrame:
+def plans(patterns: DataFrame, max_branching: int = MAX_BRANCHING, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``patterns(pattern)`` to ``(source_pattern, final_pattern)`` for those that merge.
 
-    One group a token count; groups hold at most the store's cap of distinct patterns, and only
-    patterns, however many lines there are.
+    Patterns of one token count are a group. As long as a group has more than ``group_rows``
+    patterns, Spark finds the position that splits it from the values' counts at every position, and
+    splits it by that, or merges it if no position does, however many patterns it has; the groups
+    that are small go through the same rules in Python, one at a time.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(learn(group["pattern"].tolist(), max_branching).items()), columns=["source_pattern", "final_pattern"])
 
-    sized = patterns.select("pattern").distinct().withColumn("tokens", F.size(F.split("pattern", " ", -1)))
-    return sized.groupBy("tokens").applyInPandas(run, "source_pattern string, final_pattern string")
+    tokens = F.split("pattern", " ", -1)
+    rows = patterns.select("pattern").distinct().withColumn("gid", F.size(tokens).cast("long"))
+    sizes = rows.groupBy("gid").agg(F.count("*").alias("n"))
+    done = None
+    if not sizes.where(F.col("n") > group_rows).isEmpty():
+        rows = written(rows, "patterns")
+    while True:
+        big = rows.groupBy(F.col("gid").alias("g")).agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("g")
+        if big.isEmpty():
+            break
+        big = written(big, "groups")
+        large = rows.join(big, F.col("gid") == F.col("g"), "left_semi").withColumn("tokens", tokens)
+        cells = large.select("gid", F.posexplode("tokens").alias("at", "token")).distinct()
+        isid = F.col("token").rlike(_ID.pattern)
+        stats = cells.groupBy("gid", "at").agg(F.count("*").alias("n"), F.count_if(isid).alias("ids"), F.min("token").alias("low"), F.max("token").alias("high")).where("n > 1")
+        meaning = (F.col("n") <= max_branching) | (F.col("ids") * 2 < F.col("n"))
+        stats = written(stats.withColumn("by", F.when(meaning, F.struct("n", "at"))), "positions")
+        split = stats.groupBy(F.col("gid").alias("g")).agg(F.min("by").alias("by"))
+        marked = large.join(split, F.col("gid") == F.col("g"), "left")
+        token = F.get("tokens", F.col("by.at"))
+        next_gid = F.when(F.col("by").isNotNull(), F.xxhash64("gid", F.col("by.at"), token))
+        merged = stats.join(split.where("by IS NULL").select("g"), F.col("gid") == F.col("g"), "left_semi")
+        finals = _prefixed(merged).groupBy(F.col("gid").alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("at", "final"))).alias("finals"))
+        out = marked.where("by IS NULL").join(finals, F.col("gid") == F.col("m"))
+        final = F.array_join(F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at("finals", i), t)), " ")
+        out = written(out.select(F.col("pattern").alias("source_pattern"), final.alias("final_pattern")), "merged")
+        done = out if done is None else done.unionByName(out)
+        rest = rows.join(big, F.col("gid") == F.col("g"), "left_anti")
+        rows = written(rest.unionByName(marked.where("by IS NOT NULL").select("pattern", next_gid.alias("gid"))), "patterns")
+    found = rows.groupBy("gid").applyInPandas(run, "source_pattern string, final_pattern string")
+    return found if done is None else found.unionByName(done)
+
+
+def _prefixed(positions: DataFrame) -> DataFrame:
+    """Positions of merged groups, one row for each, with the token that stands there then."""
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(final=[key_prefix([x, y]) + VAR for x, y in zip(b["low"], b["high"])])
+
+    slim = positions.select("gid", "at", "low", "high")
+    return slim.mapInPandas(run, slim.withColumn("final", F.lit("")).schema).select("gid", "at", "final")
 
 
 def var_tokens(final: str) -> dict[int, str]:
@@ -132,13 +177,23 @@ def final_params(steps, params):
 
 def matches(patterns: DataFrame, merged: DataFrame) -> DataFrame:
     """``patterns(pattern)`` that fit a merged template ``merged(template_id, pattern)``, with the
-    first such template: joined by token count and first token that is no variable, then compared
-    token by token."""
+    first such template.
+
+    A pattern and a template are joined on their token count and on the template's longest token
+    that is no variable, at its place; then they are compared token by token. Of the places that
+    templates of a size are joined by, a pattern has one row each.
+    """
     tokens = F.split("pattern", " ", -1)
     left = patterns.select("pattern", tokens.alias("own"), F.size(tokens).alias("size"))
     right = merged.select("template_id", F.col("pattern").alias("final_pattern"), tokens.alias("theirs"), F.size(tokens).alias("size_t")).where(F.exists("theirs", _is_var))
+    fixed = F.filter(F.transform("theirs", lambda t, i: F.when(~_is_var(t), F.struct(F.length(t).alias("n"), (-i).alias("at")))), lambda x: x.isNotNull())
+    right = right.withColumn("place", F.coalesce(-F.array_max(fixed)["at"], F.lit(-1)))
+    right = right.withColumn("word", F.coalesce(F.get("theirs", F.col("place")), F.lit("")))
+    places = right.select(F.col("size_t").alias("s"), F.col("place").alias("p")).distinct()
+    keyed = left.join(places, F.col("size") == F.col("s")).withColumn("key", F.when(F.col("p") < 0, "").otherwise(F.get("own", F.col("p"))))
     fits = lambda a, b: F.when(_is_var(b), F.startswith(a, F.substring(b, F.lit(1), F.length(b) - len(VAR)))).otherwise(a == b)
-    joined = left.join(right, (F.col("size") == F.col("size_t")) & F.forall(F.zip_with("own", "theirs", fits), lambda x: x))
+    same = (F.col("size") == F.col("size_t")) & (F.col("p") == F.col("place")) & (F.col("key") == F.col("word"))
+    joined = keyed.join(right, same & F.forall(F.zip_with("own", "theirs", fits), lambda x: x))
     return joined.groupBy("pattern").agg(F.min_by("final_pattern", "template_id").alias("final_pattern"))
 
 

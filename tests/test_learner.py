@@ -45,3 +45,22 @@ def test_matching_takes_the_first_template(spark):
     new = spark.createDataFrame([("job j=7x done",), ("job q7x done",), ("job q7x failed",)], "pattern string")
     found = {r.pattern: r.final_pattern for r in learner.matches(new, merged).collect()}
     assert found == {"job j=7x done": "job j={var} done", "job q7x done": "job {var} done"}
+
+
+def test_large_groups_are_split_in_the_cluster(spark):
+    """The same result whether Spark splits and merges the groups or Python does."""
+    rng = random.Random(7)
+    rows = [f"job {s} id-{rng.randrange(400)}k took {{num}} k={rng.choice('abc')}{i % 11}x" for i in range(900) for s in ("ok", "failed")]
+    rows += [f"u{i}q logged in from host-{i % 30}z" for i in range(300)] + ["one two three"] + [f"w{i} x" for i in range(50)]
+    want = learner.learn(rows)
+    df = spark.createDataFrame([(x,) for x in rows], "pattern string")
+    for most in (5, 120):
+        assert {r.source_pattern: r.final_pattern for r in learner.plans(df, group_rows=most).collect()} == want
+
+
+def test_matching_joins_on_a_fixed_token(spark):
+    merged = spark.createDataFrame([(1, "{var} {var}"), (2, "a {var}"), (3, "b {var}")], "template_id long, pattern string")
+    new = spark.createDataFrame([("a 7x",), ("c 7x",), ("b x y",)], "pattern string")
+    assert {r.pattern: r.final_pattern for r in learner.matches(new, merged).collect()} == {"a 7x": "{var} {var}", "c 7x": "{var} {var}"}
+    plan = learner.matches(new, merged.where("template_id > 1"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "key#" in plan and "word#" in plan
