@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, functions as F
 
+# What is stripped off a token, the forms of a time, and below numbers with units.
 _PUNCTUATION = "[\"'(){},;:]"
 _SHAPE = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(?:(?:\.\d{1,9})?(?:[Zz]|[+-]\d{2}:\d{2})|(?:\.\d{3})?(?:[+-]\d{4})?)$"
 
@@ -47,15 +48,16 @@ def event_time(line: Column) -> Column:
     return F.when(at > 0, F.unix_millis(F.coalesce(parsed(own), parsed(both))))
 
 
-def token_class(token: Column, keys: int = 4) -> Column:
-    """The class of a token: one of ``CLASSES``, ``KV`` for ``key=dynamic``, else ``STATIC``."""
+def token_class(token: Column) -> Column:
+    """The class of a token: one of ``CLASSES``, ``KV`` for ``key=dynamic`` with any number of keys,
+    else ``STATIC``."""
     out = F.lit("STATIC")
     for name, pattern in reversed(CLASSES):
         out = F.when(token.rlike(rf"^(?:{pattern})$"), name).otherwise(out)
-    if not keys:
-        return out
-    value = F.regexp_extract(token, r"^[^=]+=(.+)$", 1)
-    return F.when(F.coalesce(token, F.lit("")) == "", "STATIC").when(out != "STATIC", out).when((value != "") & (token_class(value, keys - 1) != "STATIC"), "KV").otherwise("STATIC")
+    anything = "|".join(f"(?:{pattern})" for _, pattern in CLASSES)
+    # keys hold no ``=``; the value after any number of them is of a class
+    keyed = token.rlike(rf"^[^=]+=(?:[^=]+=)*(?:{anything})$")
+    return F.when(F.coalesce(token, F.lit("")) == "", "STATIC").when(out != "STATIC", out).when(keyed, "KV").otherwise("STATIC")
 
 
 def normalised(line: Column) -> Column:
@@ -112,7 +114,14 @@ def iso_fixed(ts: Column) -> Column:
 
 
 def relative_time(ms: Column, now_ms: Column) -> Column:
-    """How long ago, as people read it; a date where that is over a week."""
+    """How long ago, as people read it."""
     s = F.floor((now_ms - ms) / 1000)
-    ago = lambda n, what: F.concat(F.floor(n).cast("string"), F.lit(what))
-    return F.when(s < 60, ago(s, "s ago")).when(s < 3600, ago(s / 60, "m ago")).when(s < 86400, ago(s / 3600, "h ago")).when(s < 604800, ago(s / 86400, "d ago")).otherwise(F.date_format(F.timestamp_millis(ms), "MMM d yyyy"))
+    out = F.lit("just now")
+    steps = ((0, 1, " sec ago"), (60, 60, " min ago"), (3600, 3600, " hrs ago"), (86400, 86400, " days ago"), (2592000, 2592000, " months ago"), (31536000, 31536000, " years ago"))
+    for least, unit_s, what in steps:
+        out = F.when(s >= least, F.concat(F.floor(s / unit_s).cast("string"), F.lit(what))).otherwise(out)
+    return out
+
+
+def absolute_date(ms: Column) -> Column:
+    return F.date_format(F.timestamp_millis(ms), "MMM d yyyy")

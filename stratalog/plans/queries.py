@@ -17,6 +17,8 @@ from .store import Store, reconstructed
 # Fixed value: words by which a pattern counts as an anomaly.
 ANOMALY = "ERROR|EXCEPTION|FAILED|WARN|CRITICAL"
 QUERY_LIMIT, REPLAY_LIMIT, RAW_LIMIT, INVESTIGATE_TOP = 5000, 50_000, 5000, 20
+#: Template ids that go into a scan's predicate.
+MAX_IDS = 1000
 
 
 def clamp(value: int | None, default: int, most: int) -> int:
@@ -64,8 +66,8 @@ class LogStore:
 
     # -- templates
 
-    def top_templates(self, limit: int = 50, since_ms: int | None = None, exact: bool = True) -> DataFrame:
-        """Templates by occurrences; ``exact`` counts the entries, else the stored counter counts."""
+    def top_templates(self, limit: int = 50, since_ms: int | None = None, exact: bool = False) -> DataFrame:
+        """Templates by occurrences, as the store's counter has them; ``exact`` counts the entries."""
         out = self.templates if since_ms is None else self.templates.where(F.col("updated_at") >= F.timestamp_millis(F.lit(since_ms)))
         if exact:
             hits = self.entries.groupBy("template_id").agg(F.count("*").alias("hits"))
@@ -184,9 +186,16 @@ class LogStore:
 
     # -- lines
 
+    def matching_templates(self, pattern: str) -> DataFrame:
+        """The templates of a pattern as people write it, with their slots."""
+        return self.slot_table().where(F.col("pattern") == masking.pattern_query(pattern))
+
     def _matching(self, pattern: str, filters: dict[str, str] | None, start: int | None, end: int | None, alias_keys: bool = False) -> DataFrame:
-        found = self.slot_table().where(F.col("pattern") == masking.pattern_query(pattern)).select("template_id", "pattern", "slots", masking.literals(F.col("pattern")).alias("literals"))
-        rows = self._within(self.entries, start, end).join(found, "template_id")
+        found = self.matching_templates(pattern).select("template_id", "pattern", "slots", masking.literals(F.col("pattern")).alias("literals"))
+        # ids are looked up first, so that the scan of the entries prunes by them; a pattern is one template
+        ids = [r["template_id"] for r in found.select("template_id").limit(MAX_IDS + 1).collect()]
+        rows = self._within(self.entries, start, end)
+        rows = (rows.where(F.col("template_id").isin(ids)) if len(ids) <= MAX_IDS else rows).join(found, "template_id")
         for key, value in (filters or {}).items():
             key = masking_alias(key) if alias_keys else key
             own = F.get("params", F.array_position("slots", key).cast("int") - 1)

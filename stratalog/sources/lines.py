@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import GROUPS
+from ..work import work_path
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +24,20 @@ def listed_lines(spark: SparkSession, lines: Iterable[str], source: str = "stdin
     return spark.createDataFrame(rows, "source string, block long, line_no long, value string")
 
 
+def spooled_lines(spark: SparkSession, stream: BinaryIO, chunk: int = 4 << 20) -> DataFrame:
+    """The same for a stream of bytes such as standard input: it is copied, a chunk at a time, to a
+    file in the shared folder, which is read like any other."""
+    folder = work_path(spark, "spool")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/stdin")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+    try:
+        while data := stream.read(chunk):
+            out.write(data)
+    finally:
+        out.close()
+    return text_files(spark, folder).withColumn("source", F.lit("stdin"))
+
+
 def message_groups(messages: DataFrame, value: str = "value", timestamp: str = "timestamp", source: str = "topic", order: str = "offset") -> DataFrame:
     """Queue records as groups: the first line is the header, the rest its continuation, and the
     record's own time is authoritative. Null and empty records are left out."""
@@ -36,9 +52,20 @@ def message_groups(messages: DataFrame, value: str = "value", timestamp: str = "
     )
 
 
-def kafka(spark: SparkSession, servers: str, topic: str, from_beginning: bool = False, batch: int = 1000) -> DataFrame:
-    """A topic as a stream, where the connector is on the class path."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest" if from_beginning else "latest").option("maxOffsetsPerTrigger", batch).load()
+def kafka(spark: SparkSession, servers: str, topic: str, from_beginning: bool = False, group_id: str | None = None, batch: int | None = 1000, flush: str = "5 seconds", most: int | None = None) -> DataFrame:
+    """A topic as a stream, where the connector is on the class path.
+
+    A micro-batch begins when there are ``batch`` records or ``flush`` has passed, and takes all
+    there are then, ``most`` at most if given, so that a backlog is read in a few large batches.
+    """
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest" if from_beginning else "latest"}
+    if group_id:
+        options["kafka.group.id"] = group_id
+    if batch:
+        options |= {"minOffsetsPerTrigger": str(batch), "maxTriggerDelay": flush}
+    if most:
+        options["maxOffsetsPerTrigger"] = str(most)
+    return spark.readStream.format("kafka").options(**options).load()
 
 
 def no_groups(spark: SparkSession) -> DataFrame:

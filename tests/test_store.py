@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from stratalog.plans.queries import LogStore, capped
-from stratalog.plans.store import Store
+from stratalog.plans.store import Conflict, Store
 from stratalog.schema import GROUPS
+from stratalog.sources.lines import spooled_lines
 from stratalog.streaming.ingest import StreamIngest
 
 
@@ -137,3 +139,121 @@ def test_shuffled_input_gives_the_same_templates(spark, tmp_path, sf_dir):
         store.ingest(fixtures.event_groups(spark, sf_dir).orderBy(order), label="x", now_ms=1)
         all_of.append([(r.template_id, r.pattern, r.occurrences) for r in store.templates().orderBy("template_id").collect()])
     assert all_of[0] == all_of[1] and len(all_of[0]) == 6
+
+
+JOBS = [f"job j-{c}7x finished ok" for c in "abcdef"]
+
+
+def state(store):
+    q = LogStore.of(store)
+    counts = {r.template_id: r.n for r in q.template_counts(None, None).collect()}
+    templates = {r.template_id: r.occurrences for r in store.templates().collect()}
+    return sorted(lines(store)), {k: v for k, v in templates.items() if v}, counts
+
+
+@pytest.mark.parametrize("what", ["ingest", "relearn", "compact"])
+def test_a_writer_that_stops_anywhere_changes_nothing(spark, tmp_path, monkeypatch, what):
+    store = Store(spark, str(tmp_path / "s"))
+    store.ingest(groups(spark, JOBS[:5] + ["odd \u0001 line"]), label="a", now_ms=5, learn=False)
+    before = state(store)
+    put, commit = Store._put, Store._commit
+    for k in range(8):
+        count = iter(range(100))
+
+        def failing(self, *args, **kw):
+            if next(count) == k:
+                raise OSError("stopped")
+            return put(self, *args, **kw)
+
+        monkeypatch.setattr(Store, "_put", failing)
+        run = {"ingest": lambda: store.ingest(groups(spark, JOBS[3:]), label="b", now_ms=6, learn=False), "relearn": lambda: store.relearn(4), "compact": lambda: store.compact(relearn=False)}[what]
+        try:
+            run()
+        except OSError:
+            monkeypatch.undo()
+            assert state(store) == before, k  # nothing of it counts
+            continue
+        break
+    monkeypatch.undo()
+    assert k >= 2  # it was stopped at every write before
+    after = state(store)
+    assert after[1] == after[2] and len(after[0]) == (9 if what == "ingest" else 6)
+    if what == "ingest":
+        assert store.ingest(groups(spark, JOBS[3:]), label="b") is None and state(store) == after
+    store.compact()
+    folders = {p.name for p in (tmp_path / "s" / "data" / "entries").iterdir()}
+    live = {f.rsplit("/", 1)[1] for v in store._versions() for f in store._load(v).folders() if "/entries/" in f}
+    assert folders == live  # what the stopped writers left is gone
+    assert commit is Store._commit
+
+
+def test_two_writers_and_readers_of_old_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.ingest(groups(spark, JOBS[:2]), label="a", now_ms=5)
+    m = store.manifest()
+    reader = LogStore.of(store)
+    store.ingest(groups(spark, JOBS[2:]), label="b", now_ms=6)
+    with pytest.raises(Conflict):
+        store._commit(m)
+    assert reader.replay(None, None).count() == 2  # the version it began with
+    assert len(lines(store)) == 6
+
+
+def test_rerun_batches_after_maintenance(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = [("t", i, x) for i, x in enumerate(JOBS)]
+    df = spark.createDataFrame(rows, "topic string, offset long, value string").withColumn("timestamp", F.timestamp_millis(F.col("offset") + 1000))
+    runner = StreamIngest(store, compact_every=0.0, now_ms=9)
+    for _ in range(3):  # each run is followed by relearning and compaction
+        runner.batch(df.where("offset < 3"), 0)
+    runner.batch(df.where("offset >= 3"), 1)
+    runner.batch(df.where("offset < 3"), 0)
+    got = state(store)
+    assert got[0] == sorted(JOBS) and sum(got[2].values()) == 6 and got[1] == got[2]
+
+
+def test_poisoned_records_go_to_the_dead_letters(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = [("t", i, f"line {i} poison" if i in (3, 11) else f"line {i}") for i in range(16)] + [("t", 16, None)]
+    df = spark.createDataFrame(rows, "topic string, offset long, value string").withColumn("timestamp", F.timestamp_millis(F.col("offset") + 1000))
+    ingest = Store.ingest
+
+    def poisoned(self, groups, **kw):
+        if not groups.where(F.col("header").contains("poison")).isEmpty():
+            raise ValueError("poison")
+        return ingest(self, groups, **kw)
+
+    monkeypatch.setattr(Store, "ingest", poisoned)
+    runner = StreamIngest(store, dead_letters=str(tmp_path / "dead"), source="own", now_ms=9)
+    runner.batch(df, 4)
+    runner.batch(df, 4)
+    assert lines(store) == [r[2] for r in rows if r[2] and "poison" not in r[2]]
+    dead = spark.read.parquet(str(tmp_path / "dead")).collect()
+    assert sorted((r.offset, r.error) for r in dead) == [(3, "poison"), (11, "poison"), (16, "no value")]
+    assert store.done(stream=("stream", 4)) and store.manifest().labels == []
+
+
+def test_records_at_most(spark, tmp_path):
+    source = str(tmp_path / "in")
+    df = spark.createDataFrame([("t", i, f"line {i}") for i in range(40)], "topic string, offset long, value string").withColumn("timestamp", F.timestamp_millis(F.col("offset") + 1000))
+    df.repartitionByRange(4, "offset").write.parquet(source)
+    store = Store(spark, str(tmp_path / "s"))
+    runner = StreamIngest(store, max_records=15, now_ms=9)
+    runner.start(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source), str(tmp_path / "ck"), "1 second").awaitTermination(120)
+    assert len(lines(store)) == 15
+
+
+def test_scan_prunes_by_template(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.ingest(groups(spark, [f"user=u{i % 2} took {i}ms" for i in range(10)], ts=1000), label="a", now_ms=5)
+    store.compact()
+    plan = LogStore.of(store).query_lines("user=u0 took {size}")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(template_id," in plan or "In(template_id," in plan
+
+
+def test_lines_of_standard_input(spark):
+    import io
+
+    data = "".join(f"2024-01-01T00:00:{i % 60:02d}Z é line {i}\r\n" for i in range(3000)).encode()
+    rows = spooled_lines(spark, io.BytesIO(data), chunk=1000).orderBy("block", "line_no").collect()
+    assert [r.value for r in rows] == data.decode().split("\r\n")[:-1] and {r.source for r in rows} == {"stdin"}
