@@ -23,6 +23,12 @@ class Ingested:
     entries: DataFrame
     raws: DataFrame
     plans: DataFrame
+    rows: DataFrame
+
+    @property
+    def unresolved(self) -> int:
+        """How many groups had no time of their own."""
+        return self.rows.where("not resolved").count()
 
 
 def numbered(rows: DataFrame, name: str, first: int) -> DataFrame:
@@ -113,4 +119,4 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     counts = checked.where("exact").groupBy("template_id").agg(F.count("*").alias("more"))
     counted = after.join(counts, "template_id", "left").select("template_id", "pattern", (F.col("occurrences") + F.coalesce("more", F.lit(0))).alias("occurrences"), "created_at", F.when(F.col("more") > 0, now).otherwise(F.col("updated_at")).alias("updated_at"))
     learned = dimension.where("template_id is not null and source_pattern <> final_pattern").select("source_pattern", "final_pattern")
-    return Ingested(counted, entries, raws, learned.join(known_plans.select("source_pattern"), "source_pattern", "left_anti"))
+    return Ingested(counted, entries, raws, learned.join(known_plans.select("source_pattern"), "source_pattern", "left_anti"), rows)
