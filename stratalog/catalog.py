@@ -11,7 +11,7 @@ from .operators.ingest import parsed
 from .plans.queries import LogStore
 from .plans.store import Store, reconstructed
 from .ship import ship
-from .sources.lines import message_groups
+from .sources.lines import message_groups, search_hits
 from .streaming.ingest import StreamIngest
 from .work import work_path, written
 
@@ -31,13 +31,14 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> Store:
     if key not in _stores:
         store = Store(spark, work_path(spark, "store"))
         store.ingest(X.event_groups(spark, sf_dir), label="events", now_ms=NOW)
+        # with no room for templates, lines that fit none are stored raw
+        store.ingest(X.raw_groups(spark, sf_dir), label="raws", now_ms=NOW, learn=False, max_templates=0)
         _stores[key] = store
     return _stores[key]
 
 
 def logs(spark: SparkSession, sf_dir: str) -> LogStore:
-    store = fixture_store(spark, sf_dir)
-    return LogStore(store.templates(), store.entries(), X.raw_rows(spark, sf_dir))
+    return LogStore.of(fixture_store(spark, sf_dir))
 
 
 def _by_pattern(df: DataFrame) -> DataFrame:
@@ -104,12 +105,11 @@ def reconstruct_entries(spark, sf_dir):
 
 
 def similarity_best(spark, sf_dir):
-    """The most similar other event type's words, by equal tokens at equal places."""
-    words = F.split(X.body(), " ", -1)
-    one = X.events(spark, sf_dir).groupBy("event_type").agg(F.min_by(words, "event_id").alias("words"))
-    a, b = one.select(F.col("event_type").alias("a"), F.col("words").alias("wa"), F.lit(1).alias("k")), one.select(F.col("event_type").alias("b"), F.col("words").alias("wb"), F.lit(1).alias("k"))
-    pairs = a.join(b, "k").where("a <> b").select("a", "b", text.rounded(masking.similarity(F.col("wa"), F.col("wb")), 4).alias("similarity"))
-    return pairs
+    """For each event type's first line the most similar one of another type."""
+    one = X.events(spark, sf_dir).groupBy("event_type").agg(F.min_by(F.split(X.body(), " ", -1), "event_id").alias("words"))
+    one = written(one, "lines")
+    found = learner.most_similar(one.withColumnRenamed("event_type", "id"), one.withColumnRenamed("event_type", "template_id"), 0.4, others=True)
+    return found.select(F.col("id").alias("a"), F.col("template_id").alias("b"), text.rounded(F.col("similarity"), 4).alias("similarity"))
 
 
 def sha256_lines(spark, sf_dir):
@@ -142,12 +142,12 @@ def ts_carry_forward(spark, sf_dir):
 
 TOKENS = {
     "-42": "NUM", "0.001": "NUM", "38%": "NUM", "2024-01-15": "TS", "2024-01-15T10:00:00Z": "TS", "06:21:06.123": "TIME", "10.0.0.1": "IP", "docker[25559]:": "PROC",
-    "d41d8cd98f00b204e9800998ecf8427e": "HASH", "123e4567-e89b-12d3-a456-426614174000": "UUID", "user=42": "KV", "user=bob": "STATIC", "a=b=7": "KV", "=7": "STATIC", "shard7": "STATIC", "v1alpha1": "STATIC", "": "STATIC",
+    "d41d8cd98f00b204e9800998ecf8427e": "HASH", "123e4567-e89b-12d3-a456-426614174000": "UUID", "user=42": "KV", "user=bob": "STATIC", "a=b=7": "KV", "a=b=c=d=e=f=7": "KV", "=7": "STATIC", "lane9": "STATIC", "r2beta3": "STATIC", "": "STATIC",
 }
 PATTERNS = {
-    "DB {num} rows in {num} ms": "num,num_1",
-    "GET /api/v1/users/{{id}} {status}": "status",
-    "{ip}:Got exception {num}": "ip,num",
+    "moved {num} of {num} parcels": "num,num_1",
+    "PUT /shelf/{{slot}} {state}": "state",
+    "{ip} refused {num} times": "ip,num",
     '{{"n":{num}}}': "num",
     "plain": "",
     "{{}}": "",
@@ -181,9 +181,73 @@ def strip_key_prefix(spark, sf_dir):
     return _listed(spark, "value slot", STRIPS).select("value", "slot", masking.strip_key_prefix(F.col("value"), F.col("slot")).alias("stripped"))
 
 
+def token_classes(spark, sf_dir):
+    """How many tokens of all documents are of each class."""
+    rows = ship(spark).read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", r"[ \t\n\f\r]+", -1)).alias("token"))
+    return rows.groupBy(text.token_class(F.col("token")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def normalised_lines(spark, sf_dir):
+    return X.events(spark, sf_dir).select("event_id", text.normalised(X.line()).alias("line"))
+
+
+def named_roundtrip(spark, sf_dir):
+    """Lines back from values by slot name."""
+    rows = masking.masked(X.events(spark, sf_dir).withColumn("original", X.line()), "original")
+    own = masking.slots(F.col("pattern"))
+    rows = rows.select("event_id", "pattern", masking.slot_count(F.col("pattern")).alias("n_slots"), masking.param_map(own, F.col("params")).alias("values"))
+    return rows.select("event_id", "n_slots", F.col("values")["size"].alias("size"), masking.unmask_named(F.col("pattern"), F.col("values")).alias("line"))
+
+
+def iso_times(spark, sf_dir):
+    return X.events(spark, sf_dir).select("event_id", text.iso_fixed(F.col("ts").cast("timestamp")).alias("iso"))
+
+
+def search_export(spark, sf_dir):
+    """Hits of a search engine, some twice and some broken, flattened."""
+    path = work_path(spark, "hits")
+    own = X.events(spark, sf_dir)
+    hit = F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("_id"), F.lit("logs").alias("_index"), F.struct(X.line().alias("message"), F.col("event_type").alias("kind")).alias("_source")))
+    again = own.where("event_id % 7 = 0").select(hit.alias("value"))
+    broken = own.where("event_id % 11 = 0").select(F.concat(F.lit('{"_id": "x'), F.col("event_id").cast("string")).alias("value"))
+    own.select(hit.alias("value")).unionByName(again).unionByName(broken).write.text(path)
+    found = search_hits(spark, path)
+    return found.select("_id", "message", F.col("_source")["kind"].alias("kind"))
+
+
 # -- queries over the store
 
 
+def template_numbering(spark, sf_dir):
+    """Templates are numbered by their first lines."""
+    return fixture_store(spark, sf_dir).templates().select("template_id", "pattern", "occurrences")
+
+
+def updated_templates(spark, sf_dir):
+    """Templates that changed since a time, and since a later one."""
+    s = logs(spark, sf_dir)
+    return _by_pattern(s.top_templates(since_ms=NOW)).withColumn("since", F.lit(0)).unionByName(_by_pattern(s.top_templates(since_ms=NOW + 1)).withColumn("since", F.lit(1)))
+
+
+def template_count(spark, sf_dir):
+    s = logs(spark, sf_dir)
+    return s.template_count(_id_of(s, VIEW_PATTERN), FROM, TO)
+
+
+def recent_entries(spark, sf_dir):
+    s = logs(spark, sf_dir)
+    return s.recent_entries(_id_of(s, VIEW_PATTERN), 25, newest=True).select((F.col("entry_id") - 1).alias("event_id"), "line")
+
+
+def investigate_new(spark, sf_dir):
+    return _by_pattern(logs(spark, sf_dir).investigate(FROM, TO, time_basis="event")["new_templates"])
+
+
+def investigate_raw(spark, sf_dir):
+    return logs(spark, sf_dir).investigate(FROM - 20 * DAY, TO, raw_sample=20)["raw_sample"].select("content", "log_timestamp")
+
+
+
 def top_templates(spark, sf_dir):
     return _by_pattern(logs(spark, sf_dir).top_templates())
 
@@ -301,6 +365,34 @@ def relearn_fold(spark, sf_dir):
     return _by_pattern(LogStore.of(store).top_templates())
 
 
+def maintenance_reports(spark, sf_dir):
+    """What relearning and compaction say they did, and what a second run finds to do."""
+    store = Store(spark, work_path(spark, "store"))
+    store.ingest(X.event_groups(spark, sf_dir), label="a", now_ms=NOW, learn=False)
+    first, moved, again, rest = store.relearn(), store.compact(relearn=False), store.relearn(), store.compact()
+    return ship(spark).createDataFrame([(first["merged"], first["folded"], first["remapped"], moved, again["merged"], rest)], "merged long, folded long, remapped long, compacted boolean, merged_again long, compacted_again boolean")
+
+
+def stream_rerun(spark, sf_dir):
+    """Micro-batches that run again after maintenance change nothing: counts and counters."""
+    store = Store(spark, work_path(spark, "store"))
+    runner = StreamIngest(store, compact_every=0.0, now_ms=NOW)
+    records = X.records(spark, sf_dir)
+    for number, half in ((0, 0), (0, 0), (1, 1), (0, 0), (1, 1)):
+        runner.batch(records.where(F.col("offset") % 2 == half), number)
+    counts = LogStore.of(store).template_counts(None, None)
+    return _by_pattern(counts.join(store.templates().select("template_id", "occurrences"), "template_id"))
+
+
+def stream_limit(spark, sf_dir):
+    """A stream that ends after so many records."""
+    store = Store(spark, work_path(spark, "store"))
+    runner = StreamIngest(store, max_records=500, now_ms=NOW)
+    runner.batch(X.records(spark, sf_dir).where("offset < 400"), 0)
+    runner.batch(X.records(spark, sf_dir).where("offset >= 400"), 1)
+    return LogStore.of(store).replay(None, None).select("line")
+
+
 def cap_overflow(spark, sf_dir):
     """With two templates at most, the lines of the others are raw and whole."""
     store = Store(spark, work_path(spark, "store"))
@@ -366,6 +458,20 @@ QUERIES = {
     "relearn_fold": relearn_fold,
     "cap_overflow": cap_overflow,
     "stream_counts": stream_counts,
+    "token_classes": token_classes,
+    "normalised_lines": normalised_lines,
+    "named_roundtrip": named_roundtrip,
+    "iso_times": iso_times,
+    "search_export": search_export,
+    "template_numbering": template_numbering,
+    "updated_templates": updated_templates,
+    "template_count": template_count,
+    "recent_entries": recent_entries,
+    "investigate_new": investigate_new,
+    "investigate_raw": investigate_raw,
+    "maintenance_reports": maintenance_reports,
+    "stream_rerun": stream_rerun,
+    "stream_limit": stream_limit,
 }
 
 _MS = "(epoch_us(ts) // 1000)"
@@ -386,7 +492,8 @@ _K = "regexp_extract(props, '[0-9]+')"
 _SIZE = "printf('%.2f', value) || 'ms'"
 _VIEW = "event_type = 'view'"
 _COUNTS = f"WITH c AS (SELECT {_TEMPLATE} AS pattern, count(*) AS occurrences FROM events GROUP BY 1)"
-_RAW = f"SELECT event_id + 1 AS log_id, 'unparsed ' || props AS content, {_MS} AS log_timestamp FROM events WHERE event_type = 'signup' AND event_id % 50 = 0"
+_CLASS = " ".join(f"WHEN regexp_full_match(token, '{p}') THEN '{name}'" for name, p in text.CLASSES)
+_RAW = f"SELECT row_number() OVER (ORDER BY event_id) AS log_id, 'unparsed ' || props AS content, {_MS} AS log_timestamp FROM events WHERE event_type = 'signup' AND event_id % 50 = 0"
 
 
 def _split_sql(table: str, key: str, column: str) -> str:
@@ -413,10 +520,10 @@ SQL = {
     "reconstruct_entries": f"SELECT event_id, {_LINE} AS line FROM events",
     "similarity_best": f"""
         WITH w AS (SELECT event_type, string_split(arg_min({_BODY}, event_id), ' ') AS words FROM events GROUP BY 1)
-        SELECT a.event_type AS a, b.event_type AS b,
+        SELECT a, first(b ORDER BY similarity DESC, b) AS b, max(similarity) AS similarity FROM (SELECT a.event_type AS a, b.event_type AS b,
                floor(list_sum(list_transform(generate_series(1, greatest(len(a.words), len(b.words))), lambda i: CASE WHEN a.words[i] = b.words[i] THEN 1 ELSE 0 END))::DOUBLE
                      / greatest(len(a.words), len(b.words)) * 10000 + 0.5) / 10000.0 AS similarity
-        FROM w a JOIN w b ON a.event_type <> b.event_type""",
+        FROM w a JOIN w b ON a.event_type <> b.event_type) WHERE similarity > 0.4 GROUP BY a""",
     "sha256_lines": f"SELECT event_id, sha256({_LINE}) AS digest FROM events",
     "multiline_groups": f"""
         WITH c AS (SELECT event_id, {_LINE} AS header, CASE WHEN event_type = 'error' THEN event_id % 4 ELSE 0 END AS n FROM events)
@@ -482,5 +589,23 @@ SQL = {
     "compact_union": f"SELECT event_id, {_LINE} AS line FROM events",
     "relearn_fold": f"{_COUNTS} SELECT pattern, occurrences FROM c",
     "cap_overflow": f"SELECT {_LINE} AS line FROM events",
+    "token_classes": f"""
+        WITH t AS (SELECT unnest(string_split_regex(text, '[ \\t\\n\\f\\r]+')) AS token FROM documents)
+        SELECT CASE WHEN token = '' THEN 'STATIC' {_CLASS} WHEN regexp_full_match(token, '[^=]+=(?:[^=]+=)*(?:{"|".join(f"(?:{p})" for _, p in text.CLASSES)})') THEN 'KV' ELSE 'STATIC' END AS kind, count(*) AS n FROM t GROUP BY 1""",
+    "normalised_lines": f"SELECT event_id, regexp_replace(regexp_replace({_LINE}, '^[^ ]+', '{{ts}}'), '[0-9]+\\}}', '{{num}}') AS line FROM events",
+    "named_roundtrip": f"SELECT event_id, 3 AS n_slots, {_SIZE} AS size, {_LINE} AS line FROM events",
+    "iso_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS iso FROM events",
+    "search_export": f"SELECT 'e' || event_id AS _id, {_LINE} AS message, event_type AS kind FROM events",
+    "template_numbering": f"SELECT row_number() OVER (ORDER BY min(event_id)) AS template_id, {_TEMPLATE} AS pattern, count(*) AS occurrences FROM events GROUP BY 2",
+    "updated_templates": f"{_COUNTS} SELECT pattern, occurrences, 0 AS since FROM c",
+    "template_count": f"SELECT count(*) AS n FROM events WHERE {_VIEW} AND {_IN}",
+    "recent_entries": f"SELECT event_id, {_LINE} AS line FROM events WHERE {_VIEW} ORDER BY {_MS} DESC, event_id DESC LIMIT 25",
+    "investigate_new": f"SELECT pattern, first_seen_ms, window_count FROM (SELECT {_TEMPLATE} AS pattern, min({_MS}) AS first_seen_ms, count(*) FILTER ({_IN}) AS window_count FROM events GROUP BY 1) WHERE first_seen_ms BETWEEN {FROM} AND {TO}",
+    "investigate_raw": f"SELECT content, log_timestamp FROM ({_RAW}) WHERE log_timestamp BETWEEN {FROM - 20 * DAY} AND {TO} ORDER BY log_timestamp, log_id LIMIT 20",
+    "maintenance_reports": f"""
+        WITH u AS (SELECT {_TEMPLATE} AS template, count(DISTINCT {_OWN}) AS own FROM events GROUP BY 1)
+        SELECT count(*) FILTER (own > 8) AS merged, coalesce(sum(own) FILTER (own > 8), 0)::BIGINT AS folded, 0::BIGINT AS remapped, TRUE AS compacted, 0::BIGINT AS merged_again, FALSE AS compacted_again FROM u""",
+    "stream_rerun": f"SELECT {_TEMPLATE} AS pattern, count(*) AS n, count(*) AS occurrences FROM events GROUP BY 1",
+    "stream_limit": f"SELECT {_LINE} || CASE WHEN event_id % 5 = 0 THEN chr(10) || chr(9) || 'at frame ' || event_id ELSE '' END AS line FROM events ORDER BY event_id LIMIT 500",
     "stream_counts": f"SELECT {_TEMPLATE} AS pattern, count(*) AS n FROM events GROUP BY 1",
 }

@@ -35,10 +35,10 @@ def event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.lit("events").alias("source"), F.col("event_id").alias("seq"), line().alias("header"), F.array().cast("array<string>").alias("continuation"), F.lit(None).cast("long").alias("source_ts"))
 
 
-def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that were stored raw, some of the sign-ups."""
+def raw_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that no template has, for some of the sign-ups, with times of their own."""
     kept = events(spark, sf_dir).where("event_type = 'signup' AND event_id % 50 = 0")
-    return kept.select((F.col("event_id") + 1).alias("log_id"), F.concat(F.lit("unparsed "), "props").alias("content"), ms().alias("log_timestamp"), F.lit("fixture").alias("source"), F.col("ts").cast("timestamp").alias("created_at"))
+    return kept.select(F.lit("fixture").alias("source"), F.col("event_id").alias("seq"), F.concat(F.lit("unparsed "), "props").alias("header"), F.array().cast("array<string>").alias("continuation"), ms().alias("source_ts"))
 
 
 def multiline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ ENTITIES = (
     ("size", r"\b\d+(?:\.\d+)?(?:ms|ns|s|KB|MB|GB|B)\b"),
     ("num", r"(?<![A-Za-z0-9])-?\d+(?:\.\d+)?"),
 )
+SIGN = r"[0-9/]|[a-fA-F]{16}"
 ENTITY = "|".join(f"({p})" for _, p in ENTITIES)
 EDGE, GROUP, SLOT = "\u0001", "\u0002", "\u0003"
 _MARKS = "[\u0001\u0002\u0003]"
@@ -39,7 +40,8 @@ def masked(df: DataFrame, line: str, pattern: str = "pattern", params: str = "pa
     names = F.array(*(F.lit("{" + name + "}") for name, _ in ENTITIES))
     kind = lambda s: F.length(F.regexp_extract(s, f"^({GROUP}*)", 1)) + 1
     doubled = lambda s: F.replace(F.replace(s, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
-    out = df.withColumn("__segments", segments)
+    # what no entity can be in: without a digit, a path or a long run of hexadecimal letters
+    out = df.withColumn("__segments", F.when(text.rlike(SIGN), segments).otherwise(F.array(text)))
     parts = F.transform("__segments", lambda s, i: F.when(i % 2 == 1, F.element_at(names, kind(s))).otherwise(doubled(s)))
     values = F.transform(F.filter("__segments", lambda s, i: i % 2 == 1), lambda s: F.translate(s, GROUP, ""))
     return out.withColumns({pattern: F.array_join(parts, ""), params: values}).drop("__segments")
@@ -52,7 +54,8 @@ def _cut(pattern: Column) -> Column:
     def part(s: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, s).when(F.startswith(s, F.lit("{{")), "{").when(F.startswith(s, F.lit(GROUP + "}}")), "}").otherwise(F.concat(F.lit(SLOT), F.substring(s, 3, 1 << 20), F.lit(SLOT)))
 
-    return F.split(F.array_join(F.transform(found, part), ""), SLOT, -1)
+    cut = F.split(F.array_join(F.transform(found, part), ""), SLOT, -1)
+    return F.when(pattern.rlike("[{}]"), cut).otherwise(F.when(pattern.isNotNull(), F.array(pattern)))
 
 
 def literals(pattern: Column) -> Column:

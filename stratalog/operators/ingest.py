@@ -12,12 +12,13 @@ from . import learner
 
 #: Sequence numbers in a block: windows run within a block, and blocks of one source run side by side.
 #: So many blocks make a span, within which their sizes are summed up.
-BLOCK, SPAN = 1 << 14, 1 << 12
+BLOCK, SPAN = 1 << 13, 1 << 13
 
 
 @dataclass
 class Ingested:
-    """What a batch adds: entries, raws and plans are new rows, templates the whole dimension after it."""
+    """What a batch adds: entries, raws and plans are new rows, templates the whole dimension after it,
+    whose counter ``counted`` brings up to date; rows are the parsed groups."""
 
     templates: DataFrame
     entries: DataFrame
@@ -72,6 +73,13 @@ def parsed(groups: DataFrame, now_ms: int, batch: int | None = None) -> DataFram
     return joined.withColumn("log_timestamp", F.coalesce("log_timestamp", "carried", F.lit(now_ms))).drop("__s", "__b", "carried", "block")
 
 
+def counted(templates: DataFrame, entries: DataFrame, now_ms: int) -> DataFrame:
+    """Templates with new entries added to their counters."""
+    more = entries.groupBy("template_id").agg(F.count("*").alias("more"))
+    now = F.timestamp_millis(F.lit(now_ms))
+    return templates.join(more, "template_id", "left").select("template_id", "pattern", (F.col("occurrences") + F.coalesce("more", F.lit(0))).alias("occurrences"), "created_at", F.when(F.col("more") > 0, now).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
 def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next_entry: int = 1, next_log: int = 1, now_ms: int = 0, learn: bool = True, max_branching: int = learner.MAX_BRANCHING, max_templates: int = learner.MAX_TEMPLATES, batch: int | None = None) -> Ingested:
     """Ingest a bounded set of groups ``(source, seq, header, continuation, source_ts)``.
 
@@ -116,7 +124,5 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     text_of = F.when(F.size("continuation") > 0, F.array_join("continuation", "\n"))
     entries = numbered(checked.where("exact"), "entry_id", next_entry).select("entry_id", "template_id", "log_timestamp", "params", text_of.alias("continuation_text"))
     raws = numbered(checked.where("not exact"), "log_id", next_log).select("log_id", F.concat_ws("\n", "header", text_of).alias("content"), "log_timestamp", "source", now.alias("created_at"))
-    counts = checked.where("exact").groupBy("template_id").agg(F.count("*").alias("more"))
-    counted = after.join(counts, "template_id", "left").select("template_id", "pattern", (F.col("occurrences") + F.coalesce("more", F.lit(0))).alias("occurrences"), "created_at", F.when(F.col("more") > 0, now).otherwise(F.col("updated_at")).alias("updated_at"))
     learned = dimension.where("template_id is not null and source_pattern <> final_pattern").select("source_pattern", "final_pattern")
-    return Ingested(counted, entries, raws, learned.join(known_plans.select("source_pattern"), "source_pattern", "left_anti"), rows)
+    return Ingested(after, entries, raws, learned.join(known_plans.select("source_pattern"), "source_pattern", "left_anti"), rows)

@@ -19,6 +19,8 @@ VAR = "{var}"
 MAX_BRANCHING = 8
 #: The templates of a store; lines of a pattern beyond that are stored raw.
 MAX_TEMPLATES = 100_000
+#: Fixed value: above this similarity a line is taken for a template's.
+SIMILAR = 0.95
 #: Patterns of a group that one Python task takes.
 GROUP_ROWS = 20_000
 # Fixed value: what tells an identifier from a word.
@@ -197,5 +199,26 @@ def matches(patterns: DataFrame, merged: DataFrame) -> DataFrame:
     return joined.groupBy("pattern").agg(F.min_by("final_pattern", "template_id").alias("final_pattern"))
 
 
+def most_similar(lines: DataFrame, templates: DataFrame, threshold: float = SIMILAR, others: bool = False) -> DataFrame:
+    """``lines(id, words)`` with the most similar of ``templates(template_id, words)``, of equally
+    similar ones the first, if its share of equal words at equal places is above ``threshold``;
+    with ``others``, one of another id.
+
+    So similar a pair has fewer than ``1 - threshold`` of the longer one's words unlike, so it
+    shares one of as many first words and one more: the two are joined on those words.
+    """
+
+    def keyed(df: DataFrame, own: str) -> DataFrame:
+        unlike = F.floor(F.size("words") * (1 - threshold) / threshold + 1e-9).cast("int")
+        places = F.sequence(F.lit(0), F.least(unlike, F.size("words") - 1))
+        return df.where(F.size("words") > 0).select(own, F.col("words").alias(f"{own}_words"), F.explode(places).alias("at")).withColumn("word", F.get(f"{own}_words", F.col("at")))
+
+    pairs = keyed(lines, "id").join(keyed(templates, "template_id"), ["at", "word"])
+    pairs = pairs.where("id <> template_id") if others else pairs
+    alike = masking.similarity(F.col("id_words"), F.col("template_id_words")).alias("similarity")
+    found = pairs.select("id", "template_id", alike).where(F.col("similarity") > threshold)
+    return found.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "template_id")).alias("best")).select("id", "best.template_id", (-F.col("best.s")).alias("similarity"))
+
+
 def _is_var(t):
     return t.rlike(r"^[^{}]*\{var\}$")

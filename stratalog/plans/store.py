@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import masking
 from ..operators import learner
-from ..operators.ingest import Ingested, ingest
+from ..operators.ingest import Ingested, counted, ingest
 from ..schema import ENTRIES, PLANS, RAWS, TEMPLATES
 from ..ship import ship
 from ..work import written
@@ -173,8 +173,8 @@ class Store:
         now = int(time.time() * 1000) if now_ms is None else now_ms
         batch = ingest(groups, self._read("templates", m.templates), self.dimension("plans"), m.next_entry, m.next_log, now, **options)
         entries, n = self._put("entries", batch.entries)
-        raws, k = self._put("raws", batch.raws)
-        templates, _ = self._put("templates", batch.templates.coalesce(1))
+        raws, k = self._put("raws", batch.raws) if batch.rows.count() > n else ([], 0)
+        templates, _ = self._put("templates", counted(batch.templates, self._read("entries", entries), now).coalesce(1))
         plans, _ = self._put("plans", batch.plans.coalesce(1))
         live = {"entries": m.live["entries"] + entries, "raws": m.live["raws"] + raws}
         streams = m.streams | ({stream[0]: stream[1]} if stream else {})

@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 from stratalog.functions import masking, text
 
 CASES = {
-    "10.251.71.68:50010:Got exception": ("{ip}:Got exception", ["10.251.71.68:50010"]),
-    "Deleting block blk_-160 done": ("Deleting block blk_{num} done", ["-160"]),
+    "10.9.8.7:4711:refused it": ("{ip}:refused it", ["10.9.8.7:4711"]),
+    "shelf s_-160 is empty": ("shelf s_{num} is empty", ["-160"]),
     'msg={"n": 42}': ('msg={{"n": {num}}}', ["42"]),
-    "blk_1608999687919862906": ("blk_{num}", ["1608999687919862906"]),
+    "parcel_4418999687919862906": ("parcel_{num}", ["4418999687919862906"]),
+    "no digits / but Feed/path and deadbeefdeadbeefaa {x}": ("no digits / but Feed{path} and {hash} {{x}}", ["/path", "deadbeefdeadbeefaa"]),
     "naïve12:00:00": ("naïve12:{num}:{num}", ["00", "00"]),
     "12:00:00é": ("{time}é", ["12:00:00"]),
     r"5 $1 \d": (r"{num} ${num} \d", ["5", "1"]),
     "": ("", []),
     "no entity here": ("no entity here", []),
-    "081109 203518 143 INFO x: Receiving block blk_-1608 src: /10.250.19.102:54106": ("{num} {num} {num} INFO x: Receiving block blk_{num} src: /{ip}", ["081109", "203518", "143", "-1608", "10.250.19.102:54106"]),
-    "GET /api/v1/inventory/{sku} status=200 16ms": ("GET {path}/{{sku}} status={num} {size}", ["/api/v1/inventory", "200", "16ms"]),
+    "070203 114455 12 NOTE q: parcel p_-77 from: /10.20.30.40:5060": ("{num} {num} {num} NOTE q: parcel p_{num} from: /{ip}", ["070203", "114455", "12", "-77", "10.20.30.40:5060"]),
+    "PUT /depot/shelf/{slot} code=204 31ms": ("PUT {path}/{{slot}} code={num} {size}", ["/depot/shelf", "204", "31ms"]),
 }
 
 
@@ -44,8 +45,8 @@ def test_null_lines_and_clashing_columns(spark):
 def test_slots_and_named_values(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     names = lambda p: one(masking.slot_names(masking.slots(F.lit(p))))
-    assert names("DB {num} rows in {num} ms") == ["num", "num_1"]
-    assert names("GET /api/v1/users/{{id}} {status}") == ["status"]
+    assert names("moved {num} of {num} parcels") == ["num", "num_1"]
+    assert names("PUT /shelf/{{slot}} {state}") == ["state"]
     assert names("{{{num}}}") == ["num"]
     assert one(masking.slot_count(F.lit('{{"n":{num}}}'))) == 1
     assert [one(masking.slot_base_name(F.lit(x))) for x in ("num_1", "user", "pool_wait")] == ["num", "user", "pool_wait"]

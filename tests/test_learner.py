@@ -7,7 +7,7 @@ from stratalog.operators import learner
 
 
 def test_words_never_merge():
-    assert learner.learn(["Verification succeeded for blk_{num}", "Verification failed for blk_{num}"]) == {}
+    assert learner.learn(["Audit passed for shelf_{num}", "Audit failed for shelf_{num}"]) == {}
 
 
 def test_boundary():
