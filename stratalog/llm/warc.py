@@ -17,15 +17,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import written
+from .common import bit_marks, may_hold, written
 
 #: A file holds about this much payload on average; a reader has one compressed file in memory and
 #: of the text a record and a chunk.
 FILE_BYTES = 16 << 20
 CHUNK = 1 << 20
 BATCH_BYTES = 4 << 20
-#: Digests of several records are marked in so many buckets, whose numbers are broadcast: 8 MB at most.
-BUCKETS = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EOL = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -63,17 +61,9 @@ def resolve(headers: DataFrame, least_bytes: int = 0, of: DataFrame | None = Non
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("original"))).drop("d", "original")
 
 
-def _bucket(digest: str) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(BUCKETS)).cast("int")
-
-
-def _split(rows: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose digest may be in ``of``, and the rest, told by buckets: no row is shuffled for that.
-    The broadcast side has ``BUCKETS`` rows at most."""
-    marks = F.broadcast(of.select(_bucket("d").alias("mark")).distinct())
-    shared = rows.withColumn("bucket", _bucket("payload_digest"))
-    on = F.col("bucket") == F.col("mark")
-    return shared.join(marks, on, "left_semi").drop("bucket"), shared.join(marks, on, "left_anti").drop("bucket")
+def _split(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows with ``several``, whether their digest may be in ``of``, told without a shuffle."""
+    return may_hold(rows, "payload_digest", written(bit_marks(of, "d"), "marks"), "several")
 
 
 def record(date: str) -> Column:
@@ -101,10 +91,10 @@ def record(date: str) -> Column:
     )
 
 
-def _write(rows: DataFrame, headers: DataFrame, path: str, date: str, compression: str) -> None:
-    n, size = headers.agg(F.count("*"), F.sum("payload_bytes")).first()
+def _write(rows: DataFrame, sizes: DataFrame, path: str, date: str, compression: str) -> None:
+    n, size = sizes.agg(F.count("*"), F.sum("payload_bytes")).first()
     per_file = max(1, min(100_000, int(FILE_BYTES / max(1, (size or 0) / max(1, n)))))
-    rows.select(record(date).alias("value")).write.option("lineSep", EOL * 2).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+    rows.select(record(date).alias("value")).write.option("lineSep", EOL * 2).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _slim(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -121,14 +111,15 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     empty table makes an archive without records. Other columns are not looked at.
     """
     slim = _slim(pages, key, url, html)
-    headers = written(slim.select("key", "payload_digest", "payload_bytes"), "headers")
     response = lambda rows: rows.select(*slim.columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     if not revisits:
-        _write(response(slim), headers, path, date, compression)
+        _write(response(slim), slim.select("payload_bytes"), path, date, compression)
         return
+    headers = written(slim.select("key", "payload_digest", "payload_bytes"), "headers")
     of = written(originals(headers, least_bytes), "originals")
-    several, single = _split(slim, of)
-    _write(resolve(several, least_bytes, of).unionByName(response(single)), headers, path, date, compression)
+    told = _split(slim, of)
+    fresh = resolve(told.where("several").drop("several"), least_bytes, of)
+    _write(fresh.unionByName(response(told.where("NOT several"))), headers, path, date, compression)
 
 
 class Damaged(ValueError):
@@ -249,8 +240,9 @@ def dedup_archives(spark: SparkSession, source: str, target: str, least_bytes: i
     headers = written(headers, "headers")
     of = written(originals(headers, least_bytes), "originals")
     found = read_archives(spark, source).withColumn("html", F.col("payload").cast("string")).select("key", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    several, single = _split(found, of)
-    several = written(several, "several")  # archives are parsed once for all that follows
+    told = _split(found, of)
+    several = written(told.where("several").drop("several"), "several")  # these are parsed once for all that follows
+    single = told.where("NOT several")
     payloads = several.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("pd")).agg(F.first("html").alias("original_html"))
     fresh = resolve(several.withColumnsRenamed({"record_type": "was", "refers_to": "referred"}), least_bytes, of)
     moved = (F.col("was") == "revisit") & (F.col("record_type") == "response")
