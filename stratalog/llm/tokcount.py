@@ -14,9 +14,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import work_path, written
+from .common import bit_marks, may_hold, work_path, written
 from .pretok import shared_file, splitter
 
 #: Pieces whose counts are remembered; as many again stay as the older half.
@@ -25,8 +25,6 @@ LONG_PIECE = 64
 SLICE = 64
 #: The library makes an object with offsets for each piece, so it gets so many at a time.
 CHUNK = 1024
-#: Digests are told apart by so many buckets before any text is shuffled: 8 MB of numbers.
-BUCKETS = 1 << 20
 CACHE = "digest binary, n_tokens long, tokenizer string"
 
 
@@ -90,10 +88,6 @@ class Counter(dict):
 _counters: dict[str, Counter] = {}
 
 
-def _bucket(digest: str) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(BUCKETS)).cast("int")
-
-
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, cache: str | None = None) -> DataFrame:
     """``(id, n_bytes long, n_tokens long, digest binary)`` for every row: whole texts, without
     begin, end or added special tokens, special strings as the library's default has them.
@@ -104,8 +98,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
     null id too; other columns are not looked at. An empty table gives an empty result.
 
     Ids and digests are shuffled to find the misses. Texts whose digest nothing shares and that
-    are not in the cache are encoded where they are; buckets of digests, at most ``BUCKETS`` numbers,
-    are broadcast to tell them. The others are shuffled to find the one of each digest to encode; all
+    are not in the cache are encoded where they are; bitmaps of digests, 8 MB at most, are broadcast
+    to tell them. The others are shuffled to find the one of each digest to encode; all
     joins on the digest are ones that adaptive execution can split.
     """
     import public_tokenizers
@@ -134,11 +128,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
 
     held = keys.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     held = written(held.join(known().select("digest", F.lit(True).alias("cached")), "digest", "left"), "held")
-    marks = held.select(_bucket("digest").alias("mark"), F.col("cached").isNull().alias("missing"), ((F.col("n") > 1) | F.col("cached").isNotNull()).alias("several"))
-    marks = written(marks.groupBy("mark").agg(F.max("missing").alias("missing"), F.max("several").alias("several")).where("missing"), "marks")
-    if not marks.isEmpty():
-        marked = slim.withColumn("bucket", _bucket("digest")).join(F.broadcast(marks), F.col("bucket") == F.col("mark")).drop("bucket", "mark", "missing")
-        own = held.where("cached IS NULL").select(F.col("digest").alias("d"), "first")
+    missing = held.where("cached IS NULL")
+    if not missing.isEmpty():
+        wanted = written(bit_marks(missing, "digest"), "marks")
+        several = written(bit_marks(held.where("n > 1 OR cached"), "digest"), "marks")
+        marked = may_hold(may_hold(slim, "digest", wanted, "wanted").where("wanted"), "digest", several, "several")
+        own = missing.select(F.col("digest").alias("d"), "first")
         one = marked.where("several").select("digest", "text", "id").join(own, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
         alone = marked.where("NOT several").select("digest", "text")
         put(alone.unionByName(one.select("digest", "text")).mapInArrow(run, CACHE))

@@ -5,7 +5,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from stratalog.llm import bpe, tokcount
+from stratalog.llm import bpe, common, tokcount
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -163,7 +163,7 @@ def test_a_second_call_encodes_nothing(spark, tmp_path, monkeypatch):
     assert sorted((r.doc_id, r.n_tokens) for r in tokcount.count_tokens(df, cache=cache).collect()) == first
     assert sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet")) == files and spark.read.parquet(cache).count() == 7
     monkeypatch.undo()
-    monkeypatch.setattr(tokcount, "BUCKETS", 2)  # nearly all digests share a bucket with others
+    monkeypatch.setattr(common, "MARK_BITS", 2)  # nearly all digests share a bit with others
     more = spark.createDataFrame([(i, f"text {i % 11}", 1, b"x") for i in range(30)], df.schema)
     got = {r.doc_id: r.n_tokens for r in tokcount.count_tokens(more, cache=cache).collect()}
     assert len(got) == 30 and spark.read.parquet(cache).count() == 11
