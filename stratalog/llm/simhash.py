@@ -168,8 +168,9 @@ def _pairs(cells: DataFrame, tops: list[int], steps: list[tuple[int, ...]], tile
     ids = home.join(own, F.col("k") == F.col("c")).select("cell", "chunk_a", "k", F.explode(F.sequence(first, F.col("chunks") - 1)).alias("chunk_b"))
     a = tiles.select(F.col("cell").alias("ca"), F.col("chunk").alias("na"), F.col("rows").alias("a"))
     b = tiles.select(F.col("cell").alias("cb"), F.col("chunk").alias("nb"), F.col("rows").alias("b"))
-    held = ids.join(a, (F.col("cell") == F.col("ca")) & (F.col("chunk_a") == F.col("na"))).select("a", "k", "chunk_b")
-    return held.join(b, (F.col("k") == F.col("cb")) & (F.col("chunk_b") == F.col("nb"))).select("a", "b")
+    # many ids compress to little, which is no reason to broadcast them
+    held = ids.hint("merge").join(a, (F.col("cell") == F.col("ca")) & (F.col("chunk_a") == F.col("na"))).select("a", "k", "chunk_b")
+    return held.hint("merge").join(b, (F.col("k") == F.col("cb")) & (F.col("chunk_b") == F.col("nb"))).select("a", "b")
 
 
 def _compared(pairs: DataFrame, radius, ratio: tuple[int, int] | None = None) -> DataFrame:
