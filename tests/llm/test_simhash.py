@@ -93,3 +93,12 @@ def test_skewed_tile_cells(spark):
     groups = plain_components([int(x) for x in fps], [int(x) & (1 << 64) - 1 for x in fps])
     assert {k: v for k, v in groups.items() if k != v} == found
     assert df.where(F.col("fp").isNull()).count() == 0
+
+
+def test_long_texts(spark):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "eps")) + str(rng.randrange(50)) for _ in range(150_000))
+    rows = [(1, long), (2, long.upper()), (3, long + " end"), (4, "short")]
+    found = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [found[i].component_id for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
+    assert found[1].fp & (1 << 64) - 1 == plain_fingerprint(long)

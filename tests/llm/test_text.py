@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -220,6 +221,83 @@ def test_every_notice_in_the_documents(spark, sf_dir):
         assert r.own_license == next((v for k, v in own.items() if k in texts[r.doc_id]), None)
 
 
+def plain_scan(files, templates, long, threshold):
+    """Licences by cosines computed in full and ancestors looked up one by one."""
+    split = [[licenses.terms(x) for x in (t or "").split("\n")] for _, _, t in files]
+
+    def scorer(own):
+        vectors = [(k, Counter(licenses.terms(t))) for k, t in own]
+        known = {t for _, c in vectors for t in c}
+        held = [set(x) & known for rows in split for x in rows if set(x) & known]
+        df = Counter(t for x in held for t in x)
+        spread = Counter(t for _, c in vectors for t in c)
+        idf = {t: math.log((1 + len(held)) / (1 + df[t])) + math.log((1 + len(own)) / spread[t]) + 0.1 for t in known}
+        top = max(idf.values())
+        weigh = lambda c: {t: (1 + math.log(n)) * idf.get(t, top) for t, n in c.items()}
+        norm = lambda v: math.sqrt(sum(w * w for w in v.values())) or 1.0
+        vectors = [(k, weigh(c)) for k, c in vectors]
+
+        def best(words):
+            v = weigh(Counter(words))
+            scores = [sum(w * u.get(t, 0.0) for t, w in v.items()) / norm(v) / norm(u) for _, u in vectors]
+            i = max(range(len(scores)), key=lambda i: (scores[i], -i))
+            return (vectors[i][0], scores[i]) if scores[i] >= threshold else None
+
+        return best
+
+    short, wide = scorer(templates), scorer(long)
+    own, whole = {}, set()
+    for (i, path, text), rows in zip(files, split):
+        parts = (text or "").split("\n")
+        hits = [(k, k + 1, short(x)) for k, x in enumerate(rows)] + [(a, b, wide([t for x in rows[a:b] for t in x])) for a, b in ([(0, 1)] if len(rows) == 1 else licenses.blocks(parts))]
+        hits = [h for h in hits if h[2]]
+        file = [h[2] for h in hits if h[:2] == (0, len(rows)) and len(rows) > 1]
+        if hits:
+            own[i] = file[0] if file else max((h[2] for h in hits), key=lambda h: h[1])
+            covered = {k for a, b, _ in hits for k in range(a, b)}
+            if sum(len(rows[k]) for k in covered) >= 0.5 * sum(map(len, rows)):
+                whole.add(i)
+    home = lambda path: path.rsplit("/", 1)[0] if "/" in path else ""
+    held = {}
+    for i, path, _ in sorted(files, key=lambda f: f[1] or ""):
+        if i in whole and path is not None:
+            held.setdefault(home(path), (path, own[i][0]))
+    out = {}
+    for i, path, _ in files:
+        got = (own[i][0], path) if i in own else (None, None)
+        at = home(path) if path is not None else None
+        while i not in own and at is not None:
+            if at in held:
+                got = (held[at][1], held[at][0])
+                break
+            at = home(at) if at else None
+        out[i] = (own.get(i, (None, None))[0], *got)
+    return out
+
+
+def test_licences_against_brute_force(spark, sf_dir):
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()][:150]
+    notices = [t for _, t in licenses.TEMPLATES] + [t for _, t in licenses.HEADERS[:6]]
+    files = []
+    for i in range(220):
+        text = rng.choice(texts)
+        kind = rng.random()
+        if kind < 0.12:
+            text = rng.choice(notices)
+        elif kind < 0.3:
+            rows = text.split("\n")
+            rows.insert(rng.randint(0, len(rows)), rng.choice(notices))
+            text = "\n".join(rows)
+        path = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 4))) + f"/f{i}"
+        files.append((i, path.lstrip("/"), text))
+    files += [(900, None, "x"), (901, "a/long", "word " * 100_000), (902, "a/empty", ""), (903, "a/null", None), (904, "a/b/twice", notices[0]), (905, "a/b/twice", notices[0])]
+    want = plain_scan(files, licenses.TEMPLATES, licenses.HEADERS + licenses.whole_texts(), licenses.THRESHOLD)
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: (r.own_license, r.license, r.license_path) for r in licenses.scan(df, F.col("path")).collect()}
+    assert got == want and len({w[0] for w in want.values()}) > 8
+
+
 # -- personal data
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -406,3 +484,34 @@ def test_precision_and_recall_of_added_spans(spark, sf_dir):
     for k in real:
         print(k, sum(k in r.got for r in found if r.want == k) / sum(r.want == k for r in found))
     assert recall > 0.9 and precision > 0.95
+
+
+def test_personal_data_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "x", 5), (1, "a@b.co", "y", 6), (None, None, "z", 7)], "doc_id long, text string, spans string, email int")
+    rows = sorted((r.doc_id is None, r.text, len(r.spans)) for r in pii.find(df).collect())
+    assert rows == [(False, "a@b.co", 1), (False, "a@b.co", 1), (True, "", 0)]
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_nearest_stretch_and_first_of_equal_ones(spark):
+    item = [f"w{i}" for i in range(20)]
+    near = item[:3] + ["zz"] + item[4:]
+    text = " ".join(["q"] * 5 + near + ["q"] * 9 + item + ["q"] * 4 + item)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    r = decontam.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).collect()
+    start = len(" ".join(["q"] * 5 + near + ["q"] * 9)) + 1
+    assert [(x.n_edits, x.start, x.end) for x in r] == [(0, start, start + len(" ".join(item)))]
+
+
+def test_pipeline_keeps_rows_of_a_shared_id(spark, tmp_path):
+    """One id with three texts: one clean, one with a leaked item, one a copy of another id's."""
+    rng = random.Random(1)
+    words = "the of and a to in is was that it he for on are as with his they at be this have from or one had by word but not what all were we when your can said".split()
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    clean, item, copy = draw(60), draw(30), draw(60)
+    rows = [(7, clean), (7, f"{draw(20)} {item} {draw(20)}"), (7, copy), (3, copy)] + [(100 + i, draw(50)) for i in range(20)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = sorted((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert [x for x in out if x[0] < 100] == [(3, digest(copy)), (7, digest(clean))] and len(out) == 22
