@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from . import mcp
 from .api import BadRequest, NotFound, answer, serve
 from .functions.text import duration
+from .generate import KINDS, write
 from .operators.grouping import groups
 from .plans.store import Store
 from .sources.lines import kafka, spooled_lines, text_files
@@ -43,6 +44,11 @@ def parser() -> argparse.ArgumentParser:
     consume.add_argument("--dead-letters")
     for name in ("compact", "relearn", "clear", "mcp"):
         sub.add_parser(name)
+    generate = sub.add_parser("generate", help="write log lines of a kind")
+    generate.add_argument("--kind", choices=KINDS, required=True)
+    generate.add_argument("--lines", type=int, default=100_000)
+    generate.add_argument("--seed", type=int, default=42)
+    generate.add_argument("--output", required=True)
     sub.add_parser("serve").add_argument("--port", type=int, default=8080)
     for name in QUERIES:
         q = sub.add_parser(name)
@@ -111,6 +117,8 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(store.relearn()))
     elif args.command == "clear":
         store.clear()
+    elif args.command == "generate":
+        write(spark, args.kind, args.lines, args.output, seed=args.seed)
     elif args.command == "serve":
         serve(store, args.port).serve_forever()
     elif args.command == "mcp":

@@ -111,17 +111,3 @@ def instant(text: str) -> int:
 def iso_fixed(ts: Column) -> Column:
     """A timestamp in ISO form with nine fractional digits."""
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
-
-
-def relative_time(ms: Column, now_ms: Column) -> Column:
-    """How long ago, as people read it."""
-    s = F.floor((now_ms - ms) / 1000)
-    out = F.lit("just now")
-    steps = ((0, 1, " sec ago"), (60, 60, " min ago"), (3600, 3600, " hrs ago"), (86400, 86400, " days ago"), (2592000, 2592000, " months ago"), (31536000, 31536000, " years ago"))
-    for least, unit_s, what in steps:
-        out = F.when(s >= least, F.concat(F.floor(s / unit_s).cast("string"), F.lit(what))).otherwise(out)
-    return out
-
-
-def absolute_date(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "MMM d yyyy")

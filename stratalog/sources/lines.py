@@ -7,7 +7,6 @@ from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schema import GROUPS
 from ..work import work_path
 
 
@@ -68,10 +67,6 @@ def kafka(spark: SparkSession, servers: str, topic: str, from_beginning: bool =
     return spark.readStream.format("kafka").options(**options).load()
 
 
-def no_groups(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], GROUPS)
-
-
 def search_hits(spark: SparkSession, path: str, id_field: str = "_id") -> DataFrame:
     """Search-engine hits exported as JSON lines, flattened: each id once, broken lines left out."""
     schema = f"{id_field} string, _index string, _source map<string,string>, broken string"
