@@ -67,9 +67,7 @@ class Transducer:
             if len(halves) == 2:
                 self.halves[r] = (halves[0], halves[1])
             (self.reachable if len(halves) <= 2 else self.whole)[b] = r
-        # by bytes: twice the token, if they are one that merges build, plus 1 if a longer one begins with them
-        self.nodes = {b[:i]: -1 for b in self.reachable for i in range(len(b))}
-        self.nodes |= {b: 2 * r + (b in self.nodes) for b, r in self.reachable.items()}
+        self.prefixes = {b[:i] for b in self.reachable for i in range(len(b))}
         self.pairs: dict[int, bool] = {}
         self._reset()
 
@@ -114,28 +112,19 @@ class Transducer:
             self.pairs[a << 32 | b] = known
         return known
 
-    def _read(self, text: bytes, first: int, live: list[int], starts: list[int], tokens: list[int]) -> list[int]:
-        """Read ``text`` from ``first`` on: appends to ``starts`` and ``tokens``, gives the new live positions."""
-        node, known = self.nodes.get, self.pairs.get
-        for n in range(first + 1, len(text) + 1):
-            on, token = [], -1
-            for q in live:
-                at = node(text[q:n])
-                if at is None:
-                    continue
-                if token < 0 and at >= 0:
-                    last, now = tokens[q], at >> 1
-                    apart = True if last == -1 else known(last << 32 | now)
-                    if apart or apart is None and self._beside(last, now):
-                        start, token = q, now
-                if at & 1:
-                    on.append(q)
-            if token < 0:
-                raise RuntimeError("no token ends here; the ranks are not those of a byte-level BPE")
-            starts.append(start)
-            tokens.append(token)
-            on.append(n)
-            live = on
+    def _read(self, text: bytes, n: int, live: list[int], starts: list[int], tokens: list[int]) -> list[int]:
+        """Read the byte before ``n``: appends to ``starts`` and ``tokens``, gives the new live positions."""
+        reachable, prefixes = self.reachable, self.prefixes
+        for q in live:
+            token = reachable.get(text[q:n])
+            if token is not None and (tokens[q] == -1 or self._beside(tokens[q], token)):
+                break
+        else:
+            raise RuntimeError("no token ends here; the ranks are not those of a byte-level BPE")
+        starts.append(q)
+        tokens.append(token)
+        live = [p for p in live if text[p:n] in prefixes]
+        live.append(n)
         return live
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -144,7 +133,7 @@ class Transducer:
         text = pending + bytes((byte,))
         n = len(text)
         starts, tokens = starts.copy(), tokens.copy()
-        live = self._read(text, n - 1, live, starts, tokens)
+        live = self._read(text, n, live, starts, tokens)
         root = n
         for p in live:  # the last position that all live ones have in their past
             while p != root:
@@ -168,7 +157,8 @@ class Transducer:
         pending, live, starts, tokens = self.states[state]
         if rest:
             text, starts, tokens = pending + rest, starts.copy(), tokens.copy()
-            self._read(text, len(pending), live, starts, tokens)
+            for n in range(len(pending) + 1, len(text) + 1):
+                live = self._read(text, n, live, starts, tokens)
         out, p = [], len(starts) - 1
         while p:
             out.append(tokens[p])
@@ -178,7 +168,7 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         """All tokens of a piece. A move is determinised when it is asked for a second time; what
         follows a move that comes up for the first time is read without making states."""
-        if (single := self.ranks.get(piece)) is not None:  # built by merges or not, a whole piece is its token
+        if (single := self.whole.get(piece)) is not None:
             return [single]
         if len(self.states) > self.max_states or len(self.seen) > 4 * self.max_states:
             self._reset()

@@ -37,7 +37,7 @@ class _Hashes(dict):
     """Hashes of words, remembered for a while."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return h
