@@ -12,7 +12,7 @@ from . import learner
 
 #: Sequence numbers in a block: windows run within a block, and blocks of one source run side by side.
 #: So many blocks make a span, within which their sizes are summed up.
-BLOCK, SPAN = 1 << 13, 1 << 13
+BLOCK, SPAN = 1 << 14, 1 << 12
 
 
 @dataclass
@@ -24,7 +24,7 @@ class Ingested:
     entries: DataFrame
     raws: DataFrame
     plans: DataFrame
-    rows: DataFrame
+    rows: DataFrame  # as a written table
 
     @property
     def unresolved(self) -> int:
@@ -70,7 +70,9 @@ def parsed(groups: DataFrame, now_ms: int, batch: int | None = None) -> DataFram
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.last("last", ignorenulls=True).over(earlier).alias("carried")).where("carried is not null")
     joined = out.join(carried, F.col("source").eqNullSafe(F.col("__s")) & F.col("block").eqNullSafe(F.col("__b")), "left")
-    return joined.withColumn("log_timestamp", F.coalesce("log_timestamp", "carried", F.lit(now_ms))).drop("__s", "__b", "carried", "block")
+    joined = joined.withColumn("log_timestamp", F.coalesce("log_timestamp", "carried", F.lit(now_ms))).drop("__s", "__b", "carried", "block")
+    joined._table = out  # the same rows, already written
+    return joined
 
 
 def counted(templates: DataFrame, entries: DataFrame, now_ms: int) -> DataFrame:
@@ -111,7 +113,7 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     fresh = fresh.withColumn("template_id", F.row_number().over(Window.orderBy("first", "final_pattern")) + F.lit(last[0]))
     now = F.timestamp_millis(F.lit(now_ms))
     added = fresh.select(F.col("template_id").cast("long").alias("template_id"), F.col("final_pattern").alias("pattern"), F.lit(0).cast("long").alias("occurrences"), now.alias("created_at"), now.alias("updated_at"))
-    after = templates.unionByName(added)
+    after = written(templates.unionByName(added), "templates-after")
 
     dimension = resolved.select(F.col("pattern").alias("source_pattern"), "final_pattern").join(after.select("template_id", F.col("pattern").alias("final_pattern")), "final_pattern", "left")
     dimension = dimension.withColumn("final_literals", masking.literals(F.col("final_pattern")))
@@ -125,4 +127,4 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     entries = numbered(checked.where("exact"), "entry_id", next_entry).select("entry_id", "template_id", "log_timestamp", "params", text_of.alias("continuation_text"))
     raws = numbered(checked.where("not exact"), "log_id", next_log).select("log_id", F.concat_ws("\n", "header", text_of).alias("content"), "log_timestamp", "source", now.alias("created_at"))
     learned = dimension.where("template_id is not null and source_pattern <> final_pattern").select("source_pattern", "final_pattern")
-    return Ingested(after, entries, raws, learned.join(known_plans.select("source_pattern"), "source_pattern", "left_anti"), rows)
+    return Ingested(after, entries, raws, learned.join(known_plans.select("source_pattern"), "source_pattern", "left_anti"), getattr(rows, "_table", rows))

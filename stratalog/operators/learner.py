@@ -81,15 +81,12 @@ def plans(patterns: DataFrame, max_branching: int = MAX_BRANCHING, group_rows: i
 
     tokens = F.split("pattern", " ", -1)
     rows = patterns.select("pattern").distinct().withColumn("gid", F.size(tokens).cast("long"))
-    sizes = rows.groupBy("gid").agg(F.count("*").alias("n"))
-    done = None
-    if not sizes.where(F.col("n") > group_rows).isEmpty():
+    largest = lambda: rows.groupBy("gid").count().agg(F.max("count")).first()[0] or 0
+    done, most = None, largest()
+    if most > group_rows:
         rows = written(rows, "patterns")
-    while True:
-        big = rows.groupBy(F.col("gid").alias("g")).agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("g")
-        if big.isEmpty():
-            break
-        big = written(big, "groups")
+    while most > group_rows:
+        big = written(rows.groupBy(F.col("gid").alias("g")).agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("g"), "groups")
         large = rows.join(big, F.col("gid") == F.col("g"), "left_semi").withColumn("tokens", tokens)
         cells = large.select("gid", F.posexplode("tokens").alias("at", "token")).distinct()
         isid = F.col("token").rlike(_ID.pattern)
@@ -108,6 +105,7 @@ def plans(patterns: DataFrame, max_branching: int = MAX_BRANCHING, group_rows: i
         done = out if done is None else done.unionByName(out)
         rest = rows.join(big, F.col("gid") == F.col("g"), "left_anti")
         rows = written(rest.unionByName(marked.where("by IS NOT NULL").select("pattern", next_gid.alias("gid"))), "patterns")
+        most = largest()
     found = rows.groupBy("gid").applyInPandas(run, "source_pattern string, final_pattern string")
     return found if done is None else found.unionByName(done)
 
