@@ -32,8 +32,9 @@ class Ingested:
         return self.rows.where("not resolved").count()
 
 
-def numbered(rows: DataFrame, name: str, first: int) -> DataFrame:
-    """``rows(source, seq, ...)`` with ids from ``first`` in the order of source and sequence.
+def numbered(rows: DataFrame, name: str, first: int, *ties: str) -> DataFrame:
+    """``rows(source, seq, ...)`` with ids from ``first`` in the order of source and sequence, and of
+    ``ties`` where those are equal.
 
     Ids are counted within blocks of the sequence, the blocks' sizes within spans of blocks, and only
     the spans' sizes, a number for every 64 million rows, are summed up in one place.
@@ -47,7 +48,7 @@ def numbered(rows: DataFrame, name: str, first: int) -> DataFrame:
     offsets = sizes.withColumn("__near", near).join(spans, F.col("source").eqNullSafe(F.col("__s")) & F.col("__span").eqNullSafe(F.col("__p"))).drop("__s")
     offsets = offsets.select(F.col("source").alias("__s"), F.col("__block").alias("__b"), (F.col("__far") + F.col("__near")).alias("__before"))
     joined = block.join(offsets, F.col("source").eqNullSafe(F.col("__s")) & F.col("__block").eqNullSafe(F.col("__b")))
-    within = F.row_number().over(Window.partitionBy("source", "__block").orderBy("seq"))
+    within = F.row_number().over(Window.partitionBy("source", "__block").orderBy("seq", *ties))
     return joined.withColumn(name, (F.col("__before") + within + first - 1).cast("long")).drop("__block", "__before", "__s", "__b")
 
 
@@ -82,13 +83,14 @@ def counted(templates: DataFrame, entries: DataFrame, now_ms: int) -> DataFrame:
     return templates.join(more, "template_id", "left").select("template_id", "pattern", (F.col("occurrences") + F.coalesce("more", F.lit(0))).alias("occurrences"), "created_at", F.when(F.col("more") > 0, now).otherwise(F.col("updated_at")).alias("updated_at"))
 
 
-def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next_entry: int = 1, next_log: int = 1, now_ms: int = 0, learn: bool = True, max_branching: int = learner.MAX_BRANCHING, max_templates: int = learner.MAX_TEMPLATES, batch: int | None = None) -> Ingested:
+def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next_entry: int = 1, next_log: int = 1, now_ms: int = 0, learn: bool = True, max_branching: int = learner.MAX_BRANCHING, max_templates: int | None = None, batch: int | None = None) -> Ingested:
     """Ingest a bounded set of groups ``(source, seq, header, continuation, source_ts)``.
 
     Each distinct pattern resolves to its plan, to the first learned template that it fits, to
     itself if it is a template, to what the batch's own patterns teach, or else becomes a template. New templates are numbered by their first
-    line; those beyond ``max_templates`` and lines that would not come back byte by byte are stored
-    raw, whole. With ``learn`` the batch's own patterns are learned from first.
+    line. Lines that would not come back byte by byte are stored raw, whole, and so are those of
+    templates beyond ``max_templates``, if given; without it there are as many as the lines make.
+    With ``learn`` the batch's own patterns are learned from first.
     """
     spark = groups.sparkSession
     rows = parsed(groups, now_ms, batch)
@@ -108,11 +110,11 @@ def ingest(groups: DataFrame, templates: DataFrame, known_plans: DataFrame, next
     finals = resolved.groupBy("final_pattern").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     last = templates.agg(F.coalesce(F.max("template_id"), F.lit(0)), F.count("*")).first()
     fresh = finals.join(templates.select(F.col("pattern").alias("final_pattern")), "final_pattern", "left_anti")
-    # the dimension of new templates is within the cap, so one task may number it
-    fresh = fresh.orderBy("first", "final_pattern").limit(max(0, max_templates - last[1]))
-    fresh = fresh.withColumn("template_id", F.row_number().over(Window.orderBy("first", "final_pattern")) + F.lit(last[0]))
+    fresh = numbered(fresh.select("final_pattern", "first.source", "first.seq"), "template_id", last[0] + 1, "final_pattern")
+    if max_templates is not None:
+        fresh = fresh.where(F.col("template_id") <= last[0] + max(0, max_templates - last[1]))
     now = F.timestamp_millis(F.lit(now_ms))
-    added = fresh.select(F.col("template_id").cast("long").alias("template_id"), F.col("final_pattern").alias("pattern"), F.lit(0).cast("long").alias("occurrences"), now.alias("created_at"), now.alias("updated_at"))
+    added = fresh.select("template_id", F.col("final_pattern").alias("pattern"), F.lit(0).cast("long").alias("occurrences"), now.alias("created_at"), now.alias("updated_at"))
     after = written(templates.unionByName(added), "templates-after")
 
     dimension = resolved.select(F.col("pattern").alias("source_pattern"), "final_pattern").join(after.select("template_id", F.col("pattern").alias("final_pattern")), "final_pattern", "left")

@@ -17,8 +17,6 @@ from ..work import written
 
 VAR = "{var}"
 MAX_BRANCHING = 8
-#: The templates of a store; lines of a pattern beyond that are stored raw.
-MAX_TEMPLATES = 100_000
 #: Fixed value: above this similarity a line is taken for a template's.
 SIMILAR = 0.95
 #: Patterns of a group that one Python task takes.

@@ -14,16 +14,18 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import masking
 from ..operators import learner
-from ..operators.ingest import Ingested, counted, ingest
+from ..operators.ingest import Ingested, counted, ingest, numbered
 from ..schema import ENTRIES, PLANS, RAWS, TEMPLATES
 from ..ship import ship
 from ..work import written
 
 _SCHEMAS = {"entries": ENTRIES, "raws": RAWS, "templates": TEMPLATES, "plans": PLANS}
+#: Relations that every batch reads whole, with their keys.
+_DIMENSIONS = {"templates": "template_id", "plans": "source_pattern"}
 #: Versions that readers may still be reading.
 _KEEP_VERSIONS = 2
 _LIVE = {"compression": "zstd"}
@@ -115,6 +117,8 @@ class Store:
     def _put(self, name: str, df: DataFrame, options: dict[str, str] | None = None) -> tuple[list[str], int]:
         """Write rows to a fresh folder: the folder, unless there are no rows, and how many there are."""
         folder = f"data/{name}/{uuid.uuid4().hex}"
+        if name in _DIMENSIONS:  # few files while it is small, and no one task for all of it when it is not
+            df = df.repartition(_DIMENSIONS[name])
         df.write.options(**(options or _LIVE)).parquet(f"{self.path}/{folder}")
         n = self._read(name, [folder]).count()
         return ([folder] if n else []), n
@@ -174,8 +178,8 @@ class Store:
         batch = ingest(groups, self._read("templates", m.templates), self.dimension("plans"), m.next_entry, m.next_log, now, **options)
         entries, n = self._put("entries", batch.entries)
         raws, k = self._put("raws", batch.raws) if batch.rows.count() > n else ([], 0)
-        templates, _ = self._put("templates", counted(batch.templates, self._read("entries", entries), now).coalesce(1))
-        plans, _ = self._put("plans", batch.plans.coalesce(1))
+        templates, _ = self._put("templates", counted(batch.templates, self._read("entries", entries), now))
+        plans, _ = self._put("plans", batch.plans)
         live = {"entries": m.live["entries"] + entries, "raws": m.live["raws"] + raws}
         streams = m.streams | ({stream[0]: stream[1]} if stream else {})
         labels = m.labels + [label] if label is not None else m.labels
@@ -202,7 +206,8 @@ class Store:
         last = templates.agg(F.max("template_id")).first()[0]
         target = sources.groupBy("final_pattern").agg(F.min("source_id").alias("first"), F.sum(F.when(F.col("fold"), F.col("occurrences")).otherwise(0)).alias("occurrences"), F.min("created_at").alias("created_at"))
         known = templates.select(F.col("template_id").alias("known_id"), F.col("pattern").alias("final_pattern"))
-        target = target.join(known, "final_pattern", "left").withColumn("template_id", F.coalesce("known_id", F.row_number().over(Window.orderBy("first")) + F.lit(last)).cast("long"))
+        target = numbered(target.withColumns({"source": F.lit(""), "seq": F.col("first")}), "new_id", last + 1)
+        target = target.join(known, "final_pattern", "left").withColumn("template_id", F.coalesce("known_id", "new_id"))
         target = written(target, "relearn-targets")
         merged = target.where("known_id is null").select("template_id", F.col("final_pattern").alias("pattern"), "occurrences", "created_at", F.current_timestamp().alias("updated_at"))
         more = target.where("known_id is not null").select("template_id", F.col("occurrences").alias("more"))
@@ -212,8 +217,8 @@ class Store:
         live = self._read("entries", m.live["entries"]).join(moves, F.col("template_id") == F.col("source_id"), "left")
         live = live.select("entry_id", F.coalesce("to_id", "template_id").alias("template_id"), "log_timestamp", F.when(F.col("to_id").isNotNull(), learner.final_params(F.col("program"), F.col("params"))).otherwise(F.col("params")).alias("params"), "continuation_text")
         entries, _ = self._put("entries", live)
-        after, _ = self._put("templates", kept.unionByName(merged).coalesce(1))
-        plans, _ = self._put("plans", found.select("source_pattern", "final_pattern").coalesce(1))
+        after, _ = self._put("templates", kept.unionByName(merged))
+        plans, _ = self._put("plans", found.select("source_pattern", "final_pattern"))
         self._commit(replace(m, live=m.live | {"entries": entries}, templates=after, plans=m.plans + plans))
         counts = sources.agg(F.countDistinct("final_pattern"), F.count_if("fold"), F.count_if(~F.col("fold"))).first()
         return {"merged": counts[0], "folded": counts[1], "remapped": counts[2]}
@@ -229,7 +234,7 @@ class Store:
         tail = self._read("entries", m.live["entries"]).repartitionByRange("template_id", "log_timestamp").sortWithinPartitions("template_id", "log_timestamp", "entry_id")
         entries, _ = self._put("entries", tail, _ARCHIVE)
         raws, _ = self._put("raws", self._read("raws", m.live["raws"]).sortWithinPartitions("log_timestamp", "log_id"), _ARCHIVE)
-        plans = self._put("plans", self.dimension("plans").coalesce(1))[0] if len(m.plans) > 1 else m.plans
+        plans = self._put("plans", self.dimension("plans"))[0] if len(m.plans) > 1 else m.plans
         archive = {"entries": m.archive["entries"] + entries, "raws": m.archive["raws"] + raws}
         self._commit(replace(m, archive=archive, live={"entries": [], "raws": []}, plans=plans))
         self._sweep()
@@ -244,8 +249,8 @@ class Store:
 
 
 def reconstructed(entries: DataFrame, templates: DataFrame) -> DataFrame:
-    """Entries with their lines; entries whose template is missing drop out. The dimension is within
-    the store's cap; Spark broadcasts it where its measured size allows."""
+    """Entries with their lines; entries whose template is missing drop out. Spark broadcasts
+    the dimension where its measured size allows."""
     literal = templates.select("template_id", "pattern", masking.literals(F.col("pattern")).alias("literals"))
     joined = entries.join(literal, "template_id")
     return joined.withColumn("line", masking.with_continuation(masking.fill(F.col("literals"), F.col("params")), F.col("continuation_text"))).drop("literals")

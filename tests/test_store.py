@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from stratalog.plans.queries import LogStore, capped
 from stratalog.plans.store import Conflict, Store
 from stratalog.schema import GROUPS
-from stratalog.sources.lines import spooled_lines
+from stratalog.sources.lines import message_groups, spooled_lines
 from stratalog.streaming.ingest import StreamIngest
 
 
@@ -257,3 +257,19 @@ def test_lines_of_standard_input(spark):
     data = "".join(f"2024-01-01T00:00:{i % 60:02d}Z é line {i}\r\n" for i in range(3000)).encode()
     rows = spooled_lines(spark, io.BytesIO(data), chunk=1000).orderBy("block", "line_no").collect()
     assert [r.value for r in rows] == data.decode().split("\r\n")[:-1] and {r.source for r in rows} == {"stdin"}
+
+
+def many(spark, n):
+    """Queue records of one shape, each of a pattern of its own."""
+    word = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij")
+    return spark.range(n).select(F.lit("t").alias("topic"), F.col("id").alias("offset"), F.timestamp_millis(F.col("id") + 1000).alias("timestamp"), F.concat(F.lit("job j="), word, F.lit("x finished ok")).alias("value"))
+
+
+def test_every_pattern_of_a_large_batch_becomes_a_template(spark, tmp_path):
+    store, n = Store(spark, str(tmp_path / "s")), 100_003
+    store.ingest(message_groups(many(spark, n)), label="a", now_ms=5, learn=False)
+    templates = store.templates().agg(F.count("*"), F.countDistinct("template_id"), F.min("template_id"), F.max("template_id"), F.sum("occurrences")).first()
+    assert tuple(templates) == (n, n, 1, n, n) and store.raws().isEmpty()
+    assert store.templates().where(f"template_id = {n}").first().pattern == "job j=baaaacx finished ok"  # numbered by their first lines
+    assert store.relearn() == {"merged": 1, "folded": n, "remapped": 0}
+    assert store.compact(relearn=False) and store.relearn()["merged"] == 0 and not store.compact()
