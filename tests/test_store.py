@@ -273,3 +273,4 @@ def test_every_pattern_of_a_large_batch_becomes_a_template(spark, tmp_path):
     assert store.templates().where(f"template_id = {n}").first().pattern == "job j=baaaacx finished ok"  # numbered by their first lines
     assert store.relearn() == {"merged": 1, "folded": n, "remapped": 0}
     assert store.compact(relearn=False) and store.relearn()["merged"] == 0 and not store.compact()
+    assert [(r.template_id, r.pattern, r.occurrences) for r in LogStore.of(store).top_templates().collect()] == [(n + 1, "job j={var} finished ok", n)]
