@@ -274,3 +274,11 @@ def test_every_pattern_of_a_large_batch_becomes_a_template(spark, tmp_path):
     assert store.relearn() == {"merged": 1, "folded": n, "remapped": 0}
     assert store.compact(relearn=False) and store.relearn()["merged"] == 0 and not store.compact()
     assert [(r.template_id, r.pattern, r.occurrences) for r in LogStore.of(store).top_templates().collect()] == [(n + 1, "job j={var} finished ok", n)]
+
+
+def test_a_stream_of_many_patterns_counts_like_a_batch(spark, tmp_path):
+    source, n = str(tmp_path / "in"), 100_003
+    many(spark, n).repartitionByRange(1, "offset").write.parquet(source)
+    store = Store(spark, str(tmp_path / "s"))
+    StreamIngest(store, now_ms=9).drain(spark.readStream.schema(many(spark, 1).schema).parquet(source), str(tmp_path / "ck"))
+    assert [(r.pattern, r.n) for r in LogStore.of(store).template_counts(None, None).collect()] == [("job j={var} finished ok", n)]
