@@ -282,3 +282,12 @@ def test_a_stream_of_many_patterns_counts_like_a_batch(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     StreamIngest(store, now_ms=9).drain(spark.readStream.schema(many(spark, 1).schema).parquet(source), str(tmp_path / "ck"))
     assert [(r.pattern, r.n) for r in LogStore.of(store).template_counts(None, None).collect()] == [("job j={var} finished ok", n)]
+
+
+def test_rerun_batches_of_many_patterns(spark, tmp_path):
+    store, n = Store(spark, str(tmp_path / "s")), 100_013
+    runner = StreamIngest(store, compact_every=0.0, now_ms=9)
+    for number, part in ((0, "offset < 100003"), (0, "offset < 100003"), (1, "offset >= 100003"), (0, "offset < 100003")):
+        runner.batch(many(spark, n).where(part), number)
+    assert [(r.pattern, r.n) for r in LogStore.of(store).template_counts(None, None).collect()] == [("job j={var} finished ok", n)]
+    assert store.templates().agg(F.sum("occurrences")).first()[0] == n
